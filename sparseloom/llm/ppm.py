@@ -78,6 +78,8 @@ def sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nda
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
     k, c = k[order], c[order]
+    if not len(k):
+        return k, c
     new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     return k[new], np.add.reduceat(c, new)
 
