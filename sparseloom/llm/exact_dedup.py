@@ -26,6 +26,8 @@ from .common import FILE, ROW, ascii_lower, new_path, spool, with_locator
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Each store would claim megabytes of disk ahead, and there is one for each partition.
+AHEAD = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 DIGEST, BYTES = "_sl_digest", "_sl_text"
 #: Compared as a whole: the id first (null lowest), then the place.
@@ -40,6 +42,7 @@ def keyed_state(spark: SparkSession, feed: DataFrame, feed_path: str, checkpoint
     """Run the stream over what is new below ``feed_path``; then all state so far: (digest, keep, n)."""
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set(AHEAD, "false")  # for the stream, and for reading its state later on
     try:
         groups = spark.readStream.schema(feed.schema).parquet(feed_path).groupBy(DIGEST).agg(F.max(RANK).alias("keep"), F.count(F.lit(1)).alias("n"))
         run = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
