@@ -30,8 +30,11 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 AHEAD = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 DIGEST, BYTES = "_sl_digest", "_sl_text"
-#: Compared as a whole: the id first (null lowest), then the place.
-RANK = F.struct(F.col("_sl_id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
+
+
+def rank() -> Column:
+    """Compared as a whole: the id first (null lowest), then the place."""
+    return F.struct(F.col("_sl_id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
 
 
 def sha256(text: Column) -> Column:
@@ -44,7 +47,7 @@ def keyed_state(spark: SparkSession, feed: DataFrame, feed_path: str, checkpoint
     spark.conf.set(PROVIDER, ROCKS)
     spark.conf.set(AHEAD, "false")  # for the stream, and for reading its state later on
     try:
-        groups = spark.readStream.schema(feed.schema).parquet(feed_path).groupBy(DIGEST).agg(F.max(RANK).alias("keep"), F.count(F.lit(1)).alias("n"))
+        groups = spark.readStream.schema(feed.schema).parquet(feed_path).groupBy(DIGEST).agg(F.max(rank()).alias("keep"), F.count(F.lit(1)).alias("n"))
         run = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
@@ -60,7 +63,7 @@ def keyed_state(spark: SparkSession, feed: DataFrame, feed_path: str, checkpoint
 
 
 def groups_of(feed: DataFrame) -> DataFrame:
-    return feed.groupBy(DIGEST).agg(F.max(RANK).alias("keep"), F.count(F.lit(1)).alias("n"))
+    return feed.groupBy(DIGEST).agg(F.max(rank()).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -78,7 +81,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return feed.join(state, DIGEST)
     plain = feed.join(state, DIGEST).join(clashing, DIGEST, "left_anti")
     inside = keyed.join(clashing, DIGEST, "left_semi")
-    settled = inside.groupBy(DIGEST, BYTES).agg(F.max(RANK).alias("keep"), F.count(F.lit(1)).alias("n"))
+    settled = inside.groupBy(DIGEST, BYTES).agg(F.max(rank()).alias("keep"), F.count(F.lit(1)).alias("n"))
     return plain.unionByName(inside.join(settled, [DIGEST, BYTES]).drop(BYTES))
 
 

@@ -147,8 +147,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     located = with_locator(docs)
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_sl_parts", lambda p: F.slice("_sl_words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
-    out = located.join(passes.withColumnsRenamed({FILE: "_sl_f", ROW: "_sl_r"}), (F.col(FILE) == F.col("_sl_f")) & (F.col(ROW) == F.col("_sl_r")))
-    whole = F.col("_sl_taken") == F.col("size")
+    passes = passes.select(F.col(FILE).alias("_sl_f"), F.col(ROW).alias("_sl_r"), F.col("size").alias("_sl_size"), "_sl_parts", "_sl_taken")
+    out = located.join(passes, (F.col(FILE) == F.col("_sl_f")) & (F.col(ROW) == F.col("_sl_r")))
+    whole = F.col("_sl_taken") == F.col("_sl_size")
     out = out.withColumn("_sl_words", F.when(~whole, words)).withColumn("_sl_new", F.when(whole, F.col(text_col)).otherwise(cut))
     kept = [F.col("_sl_new").alias(c) if c == text_col else F.length("_sl_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*kept)
