@@ -118,7 +118,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
 
 def join_blocks(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """Blocks by index: each slot with the pieces of documents that lie in its block."""
-    named = slots.withColumnRenamed(SRC, "_sl_s").withColumnRenamed("block", "_sl_b")
+    # Slots unfold from a tiny table of sources, whose size would make the optimizer broadcast them.
+    named = slots.withColumnRenamed(SRC, "_sl_s").withColumnRenamed("block", "_sl_b").hint("merge")
     return pieces.join(named, F.col(SRC).eqNullSafe(F.col("_sl_s")) & (F.col("block") == F.col("_sl_b"))).drop("_sl_s", "_sl_b")
 
 
