@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,8 @@ from .common import map_batches, spool, texts
 
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Tokens in a piece of a remainder, pieces in a group, words that a worker remembers.
-PIECE, GROUP, CACHE = 512, 2000, 300_000
+PIECE, GROUP, CACHE = 512, 800, 1_000_000
+SPACE = re.compile(r"\s")
 
 
 class WordIds(dict):
@@ -52,12 +55,16 @@ class WordIds(dict):
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """ASCII words go to the tokenizer many at a time: their ids' lengths tell where each ends."""
-        plain = [w for w in words if w.isascii() and b"<" not in w and not any(c < 33 or c == 127 for c in w)]
+        """Words go to the tokenizer many at a time: the bytes that ids stand for tell where each word ends.
+
+        Words with what may be a special token, or with white space that is not ASCII's, go alone.
+        """
+        plain = [w for w in words if b"<" not in w and not SPACE.search(w.decode())]
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
             ids = self.ids([b" ".join(some).decode()])[0]
-            ends, goals = np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in some])
+            sizes = [len(w) if w.isascii() else len(unicodedata.normalize("NFC", w.decode()).lower().encode()) for w in some]
+            ends, goals = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
             cuts = np.searchsorted(ends, goals) + 1
             if len(ends) and ends[-1] == goals[-1] and (ends[cuts - 1] == goals).all():
                 data, last = ids.tobytes(), 0
