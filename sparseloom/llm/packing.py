@@ -10,7 +10,7 @@ its capacity.
 
 Token ids: white space separates words before the tokenizer's model sees them, so a text's ids
 are those of its ASCII-space-separated words, one after another. Workers keep the ids of words
-they have met (up to CACHE words) and hand the tokenizer only new ones.
+they have met (up to CACHE words, then anew) and hand the tokenizer only new ones.
 
 Cases: null and empty texts are just the end token; repeated rows and null ids are packed as
 rows of their own; an empty table gives no rows; other columns are not read.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -33,9 +34,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, spool, texts
 
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Tokens in a piece of a remainder, pieces in a group, words that a worker remembers.
-PIECE, GROUP, CACHE = 512, 800, 1_000_000
-SPACE = re.compile(r"\s")
+#: Tokens in a piece of a remainder, pieces in a group, words that a worker remembers, bytes of text that it looks up at once.
+PIECE, GROUP, CACHE, READ = 512, 800, 1_000_000, 1 << 20
+#: ASCII punctuation that may stand around a word; not the apostrophe, with which contractions begin, nor what opens a special token.
+AROUND = string.punctuation.replace("'", "").replace("<", "").encode()
+#: The tokenizer lower-cases. A-Z may be so before, but not in what may turn into a special token, nor
+#: before combining marks (first bytes CC and CD), which may compose with one case of a letter only.
+AS_IS = re.compile(rb"<\||[\xcc\xcd]")
 
 
 class WordIds(dict):
@@ -55,36 +60,66 @@ class WordIds(dict):
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
+        """Learn ``words``, those with what may be a special token one by one.
+
+        Punctuation around a word is a token run of its own where it meets an ASCII letter or digit, so
+        such a word's ids are put together from those of its parts.
+        """
+        alone, parts, framed = [], {}, []
+        for w in words:
+            core = w.strip(AROUND)
+            if b"<" in w:
+                alone.append(w)
+            elif len(core) < len(w) and core[:1].isalnum() and core[-1:].isalnum():
+                at = len(w) - len(w.lstrip(AROUND))
+                framed.append((w, pieces := (w[:at], core, w[at + len(core) :])))
+                parts.update(dict.fromkeys(pieces))
+            else:
+                parts[w] = None
+        self[b""] = b""
+        self.learn_parts([w for w in parts if w not in self])
+        for w, ids in zip(alone, self.ids([w.decode() for w in alone]), strict=True):
+            self[w] = ids.tobytes()
+        for w, pieces in framed:
+            self[w] = b"".join([self[x] for x in pieces])
+
+    def learn_parts(self, words: list[bytes]) -> None:
         """Words go to the tokenizer many at a time: the bytes that ids stand for tell where each word ends.
 
-        Words with what may be a special token, or with white space that is not ASCII's, go alone.
+        Where the ends don't meet, as with white space that is not ASCII's, they go one by one.
         """
-        plain = [w for w in words if b"<" not in w and not SPACE.search(w.decode())]
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = self.ids([b" ".join(some).decode()])[0]
-            sizes = [len(w) if w.isascii() else len(unicodedata.normalize("NFC", w.decode()).lower().encode()) for w in some]
-            ends, goals = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
-            cuts = np.searchsorted(ends, goals) + 1
-            if len(ends) and ends[-1] == goals[-1] and (ends[cuts - 1] == goals).all():
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            joined = b" ".join(some).decode()
+            ids = self.ids([joined])[0]
+            shown = joined.lower() if joined.isascii() else unicodedata.normalize("NFC", joined).lower()
+            goals = np.cumsum(np.array([len(x) for x in shown.encode().split(b" ")], np.int64))
+            ends = np.cumsum(self.lengths[ids])
+            if len(goals) == len(some) == len(shown.split()) and len(ends) and ends[-1] == goals[-1] and (ends[(cuts := np.searchsorted(ends, goals) + 1) - 1] == goals).all():
                 data, last = ids.tobytes(), 0
                 for w, cut in zip(some, cuts.tolist(), strict=True):
                     self[w] = data[4 * last : 4 * cut]
                     last = cut
-        rest = [w for w in words if w not in self]
-        for w, ids in zip(rest, self.ids([w.decode() for w in rest]), strict=True):
-            self[w] = ids.tobytes()
+            else:
+                for w, own in zip(some, self.ids([w.decode() for w in some]), strict=True):
+                    self[w] = own.tobytes()
 
     def encode(self, batch: list[bytes]) -> Iterator[bytes]:
-        for text in batch:
-            words = text.split()
-            new = [w for w in dict.fromkeys(words) if w not in self]
+        """The ids of each text. Texts are read some at a time, since a call of the tokenizer has a price of its own."""
+        sizes = np.cumsum([len(t) for t in batch]) // READ
+        for at, end in zip(starts := [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist()], [*starts[1:], len(batch)], strict=True):
+            split = [(t if AS_IS.search(t) else t.lower()).split() for t in batch[at:end]]
+            if len(self) > CACHE:
+                self.clear()
+            new: dict[bytes, None] = {}
+            for words in split:
+                found = list(map(self.get, words))
+                if None in found:
+                    new.update(dict.fromkeys([w for w, ids in zip(words, found, strict=True) if ids is None]))
             if new:
-                if len(self) > CACHE:
-                    self.clear()
-                    new = list(dict.fromkeys(words))
-                self.learn(new)
-            yield b"".join([self[w] for w in words])
+                self.learn(list(new))
+            for words in split:
+                yield b"".join(list(map(self.get, words)))
 
 
 _IDS: dict[str, WordIds] = {}
