@@ -13,10 +13,11 @@ a context keeps its total, its number of symbols, and the mass that its symbols
 the shorter context. All grams of a batch are then scored as arrays.
 
 Training counts (ORDER+1)-grams and word tokens over all training texts in one pass, combined
-per task and then by key; shorter grams are sums of longer ones. The trie holds the grams that
-occur often enough for TRIE of them to do, and rarer ones are escapes; up to that size it
-holds all. The base score needs every token's count: the HEAD most frequent tokens are
-broadcast, within that bound, and the others are joined by token.
+per task and then by key; shorter grams are sums of longer ones. All grams are kept, as a table. Each
+distinct gram of the corpus is scored once: one that training saw by its context's totals, any other by
+joins of its shorter grams and contexts; only those of up to LOW bytes, at most 65,792, are looked up in
+memory. The TRIE most frequent scored grams are broadcast and the others joined by gram. Likewise the HEAD most
+frequent tokens are broadcast for the base score, and the others are joined by token.
 
 Cases: null and empty texts hold just the end; without training texts all bytes are equally
 likely and the base score is 0; null ids are not held out; repeated rows are scored each; an empty
@@ -32,17 +33,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, spool, texts
 from .quality import held_out
 
 ORDER, SYMBOLS, END = 5, 256, 0xFF
-#: Most grams in the trie, and tokens in the broadcast head.
+#: Most scored grams, and tokens, in the broadcast heads. Neither changes a score.
 TRIE, HEAD = 3_000_000, 500_000
 #: Distinct entries that a training task gathers before it hands them on, and bytes scored at once.
 GATHER, CHUNK = 1_000_000, 4 << 20
+#: Bytes of the longest grams that are looked up in memory.
+LOW = 2
 STEPS = 16  # of a threshold, per doubling
 
 
@@ -151,6 +154,27 @@ class Level:
     distinct: np.ndarray
     below: np.ndarray
 
+    def look(self, key: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(known, total, distinct, below) of the keys' contexts; (hit, count) of the keys."""
+        at, known = find(self.contexts, key >> 8)
+        gram, hit = find(self.keys, key)
+        of = lambda x, i, ok: x[i] * ok if len(x) else np.zeros(len(key))
+        return known, *(of(x, at, known) for x in (self.total, self.distinct, self.below)), hit, of(self.counts, gram, hit)
+
+
+@dataclass
+class Joined:
+    """What joins found for each gram at one level; NaN where nothing."""
+
+    n: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    below: np.ndarray
+
+    def look(self, key: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, ...]:
+        known, hit = ~np.isnan(self.total[live]), ~np.isnan(self.n[live])
+        return known, *(np.nan_to_num(x[live]) for x in (self.total, self.distinct, self.below)), hit, np.nan_to_num(self.n[live])
+
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_keys):
@@ -176,24 +200,21 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
     return out
 
 
-def log10_probability(trie: list[Level], keys: np.ndarray) -> np.ndarray:
+def log10_probability(trie: list[Level | Joined], keys: np.ndarray) -> np.ndarray:
     """Of each gram's last byte after the others."""
     out = np.zeros(len(keys))
     live = np.arange(len(keys))
     mass, seen = np.zeros(len(keys)), np.zeros(len(keys))  # of symbols excluded, at this level
     for j in range(len(trie) - 1, -1, -1):
-        level = trie[j]
         key = keys[live] & (1 << 8 * (j + 1)) - 1
-        at, known = find(level.contexts, key >> 8)
+        known, total, distinct, below, hit, count = trie[j].look(key, live)
         if known.any():
-            total = np.where(known, level.total[at] - mass, 0)
-            distinct = np.where(known, level.distinct[at] - seen, 0)
-            all_ = total + distinct
-            gram, hit = find(level.keys, key)
-            out[live[hit]] += np.log10(level.counts[gram[hit]] / all_[hit])
-            escape = ~hit & (distinct > 0)
-            out[live[escape]] += np.log10(distinct[escape] / all_[escape])
-            mass, seen = np.where(known, level.below[at], 0), np.where(known, level.distinct[at], 0)
+            left = np.where(known, distinct - seen, 0)
+            all_ = np.where(known, total - mass, 0) + left
+            out[live[hit]] += np.log10(count[hit] / all_[hit])
+            escape = ~hit & (left > 0)
+            out[live[escape]] += np.log10(left[escape] / all_[escape])
+            mass, seen = np.where(known, below, 0), np.where(known, distinct, 0)
             live, mass, seen = live[~hit], mass[~hit], seen[~hit]
         if not len(live):
             return out
@@ -201,29 +222,48 @@ def log10_probability(trie: list[Level], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_scores(trie: list[Level], batch: list[bytes], order: int = ORDER) -> np.ndarray:
-    if not batch:
-        return np.zeros(0)
+def text_scores(known: tuple[np.ndarray, np.ndarray], batch: list[bytes], order: int = ORDER) -> tuple[np.ndarray, ...]:
+    """Sums over each text of the logs that ``known`` (sorted grams, logs) has; (text, gram, tf) of the other grams."""
     keys, firsts = grams(batch, order)
-    by_key = np.argsort(keys)
-    ordered = keys[by_key]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    each = log10_probability(trie, ordered[new])
-    values = np.empty(len(keys))
-    values[by_key] = each[np.cumsum(new) - 1]
-    return np.add.reduceat(values, firsts)
-
-
-def trained(counts: DataFrame, order: int = ORDER, most: int = TRIE) -> list[Level]:
-    """The trie from gathered counts: at most ``most`` grams reach the driver."""
-    lengths = F.explode(F.sequence(F.lit(0), F.lit(order)))
-    suffix = F.expr("gram & (shiftleft(1L, 8 * (length + 1)) - 1)")
-    every = counts.filter("gram is not null").select("gram", "n", lengths.alias("length")).groupBy("length", suffix.alias("key")).agg(F.sum("n").alias("n"))
-    every = spool(every, "grams")
-    least = threshold(every, most)
-    found = every.filter(step(F.col("n")) >= least).toArrow()
-    length, key, n = (found[c].to_numpy() for c in ("length", "key", "n"))
-    return build([(key[length == j], n[length == j]) for j in range(order + 1)])
+    at, hit = find(known[0], keys)
+    logs = np.where(hit, known[1][at] if len(known[1]) else 0.0, 0.0)
+    lost = np.flatnonzero(~hit)
+    text, gram = np.searchsorted(firsts, lost, "right") - 1, keys[lost]
+    by = np.lexsort((gram, text))
+    text, gram = text[by], gram[by]
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])]) if len(by) else by
+    return np.add.reduceat(logs, firsts), text[new], gram[new], np.diff(np.r_[new, len(by)])
+
+
+def scored(asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, uses, log) of every gram of ``asked`` (gram, n, m): n times in training, m times elsewhere."""
+    spark = asked.sparkSession
+    learned, uses = asked.filter("n > 0"), (F.col("n") + F.col("m")).alias("uses")
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    direct = learned.select("gram", uses, F.log10(F.col("n") / (F.sum("n").over(context) + F.count(F.lit(1)).over(context))).alias("log"))
+    suffix = F.expr("gram & (shiftleft(1L, 8 * (length + 1)) - 1)").alias("key")
+    lengths = lambda first: F.explode(F.sequence(F.lit(first), F.lit(order))).alias("length")
+    every = spool(learned.select("gram", "n", lengths(0)).groupBy("length", suffix).agg(F.sum("n").alias("n")), "grams")
+    low = every.filter(F.col("length") < LOW).toArrow()
+    length, key, n = (low[c].to_numpy() for c in ("length", "key", "n"))
+    trie = spark.sparkContext.broadcast(build([(key[length == j], n[length == j]) for j in range(LOW)]))
+    shorter = every.select((F.col("length") + 1).alias("_sl_l"), F.col("key").alias("_sl_k"), F.col("n").alias("less"))
+    high = every.filter(F.col("length") >= LOW)
+    in_shorter = (F.col("length") == F.col("_sl_l")) & (F.expr("key & (shiftleft(1L, 8 * length) - 1)") == F.col("_sl_k"))
+    contexts = high.join(shorter, in_shorter).groupBy("length", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("less").alias("below"))
+    steps = asked.filter("n = 0").select("gram", uses, lengths(LOW)).select("*", suffix).withColumn("context", F.shiftright("key", 8))
+    steps = steps.join(high, ["length", "key"], "left").join(contexts, ["length", "context"], "left")
+    names = [(j, c) for j in range(LOW, order + 1) for c in ("n", "total", "distinct", "below")]
+    wide = steps.groupBy("gram", "uses").agg(*[F.max(F.when(F.col("length") == j, F.col(c).cast("double"))).alias(f"{c}{j}") for j, c in names])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {c: b[c].to_numpy(zero_copy_only=False).astype(float) for c in b.schema.names[2:]}
+            joined = [Joined(*(columns[f"{c}{j}"] for c in ("n", "total", "distinct", "below"))) for j in range(LOW, order + 1)]
+            logs = log10_probability([*trie.value, *joined], b["gram"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["gram"], b["uses"], pa.array(logs, pa.float64())], names=["gram", "uses", "log"])
+
+    return spool(direct.unionByName(map_batches(wide, work, "gram long, uses long, log double")), "scored")
 
 
 _HEADS: dict[int, dict[bytes, float]] = {}
@@ -242,7 +282,14 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """The registered query's columns; ``held`` tells the rows that are not learned from."""
     spark = docs.sparkSession
     counts = spool(gathered(docs.filter(~held), text_col, order), "counts")
-    trie = spark.sparkContext.broadcast(trained(counts, order))
+    zero = F.lit(0).cast("long")
+    asked = counts.filter("gram is not null").select("gram", "n", zero.alias("m"))
+    asked = asked.unionByName(gathered(docs.filter(held), text_col, order).filter("gram is not null").select("gram", zero.alias("n"), F.col("n").alias("m")))
+    logs = scored(spool(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "asked"), order)
+    frequent = threshold(logs.withColumnRenamed("uses", "n"), TRIE)
+    found = logs.filter(step(F.col("uses")) >= frequent).select("gram", "log").sort("gram").toArrow()
+    known = spark.sparkContext.broadcast((found["gram"].to_numpy(), found["log"].to_numpy()))
+    del found
     tokens = counts.filter("token is not null").select("token", "n")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = math.log10(n + 0.5 * (v + 1))
@@ -251,6 +298,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     head = spark.sparkContext.broadcast((b" ".join(common["token"].to_pylist()), np.log10(common["n"].to_numpy() + 0.5)))
     read = docs.select(F.col(id_col).alias("_sl_id"), held.alias("held_out"), F.col(text_col).alias("_sl_text"))
     kind = read.schema["_sl_id"].dataType.simpleString()
+    gram_type = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
     rare_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
     key = id(head)
 
@@ -271,27 +319,37 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                     logs.append(end)
                 rows.append((len(words) + 1, len(logs), math.fsum(logs)))
                 rare.append([{"token": w, "tf": c} for w, c in new.items()])
-            total = np.concatenate([text_scores(trie.value, some, order) for some in chunks(found)] or [np.zeros(0)])
+            sums, unknown, size = [], [], 0
+            for some in chunks(found):
+                total, text, *others = text_scores(known.value, some, order)
+                sums.append(total)
+                unknown.append((text + size, *others))
+                size += len(some)
+            total = np.concatenate(sums or [np.zeros(0)])
+            text, gram, times = (np.concatenate(x) for x in zip(*unknown, strict=True)) if unknown else [np.zeros(0, np.int64)] * 3
+            pairs = pa.StructArray.from_arrays([pa.array(gram, pa.int64()), pa.array(times, pa.int64())], fields=list(gram_type.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(size + 1)), pa.int32()), pairs, type=gram_type)
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [b["_sl_id"], b["held_out"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(total, pa.float64()), pa.array(rare, rare_type)],
-                names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                [b["_sl_id"], b["held_out"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(total, pa.float64()), pa.array(rare, rare_type), lists],
+                names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "grams"],
             )
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:binary,tf:long>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:binary,tf:long>>, grams array<struct<gram:long,times:long>>"
     rows = spool(map_batches(read, work, schema).withColumn("_sl_row", F.monotonically_increasing_id()), "scores")
     each = rows.select("_sl_row", F.explode("rare").alias("r")).select("_sl_row", "r.*")
     others = tokens.filter(step(F.col("n")) < least)
     log = F.when(F.col("n").isNull(), F.lit(math.log10(0.5))).otherwise(F.log10(F.col("n") + 0.5))
     rest = each.join(others, "token", "left").groupBy(F.col("_sl_row").alias("_sl_r")).agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * log).alias("rest"))
-    out = rows.drop("rare").join(rest, F.col("_sl_row") == F.col("_sl_r"), "left")
-    zero = F.lit(0)
+    used = rows.select("_sl_row", F.explode("grams").alias("g")).select("_sl_row", "g.*")
+    further = used.join(logs.filter(step(F.col("uses")) < frequent).select("gram", "log"), "gram").groupBy(F.col("_sl_row").alias("_sl_g")).agg(F.sum(F.col("times") * F.col("log")).alias("further"))
+    out = rows.drop("rare", "grams").join(rest, F.col("_sl_row") == F.col("_sl_r"), "left").join(further, F.col("_sl_row") == F.col("_sl_g"), "left")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more", zero)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("further", F.lit(0.0))).alias("score"),
     )
 
 
