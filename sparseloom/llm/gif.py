@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, new_path, spool, spread, texts
 
 WIDTH, ROWS, DELAY = 64, 1024, 10  # pixels, rows, hundredths of a second
 BINS = 16
@@ -311,31 +311,49 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_batches(read, work, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: the payload's digests, the media's, and a feature of its frames."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def frame_table(media: DataFrame) -> DataFrame:
+    """The written table of the frames of ``media`` (doc_id, n_bytes, media); key names the row and holds the media's digests."""
+    key = F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    found, path = frames(media.select(key.alias("key"), "media"), "key", "media"), new_path(media.sparkSession, "frames")
+    found.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(found.schema).parquet(path)
 
-    def features(gif: bytes) -> tuple:
-        digest, size, tail, grey, n, clock = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
-        for f in decode(gif):
-            payload = f.pixels()[..., 0].tobytes()  # all three colours of a grey are its index
-            digest.update(payload)
-            size, tail, n, clock = size + len(payload), payload[-64:], n + 1, f.start + f.delay
-            grey += f.histogram(0)
-        return size, digest.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), f"frames={n};ms={10 * clock};grey={','.join(map(str, grey.tolist()))}"
+
+def read_back(shown: DataFrame) -> DataFrame:
+    """What the stored frames hold: the payload's digests, the media's, and a feature of the frames."""
+    spark, kind = shown.sparkSession, shown.schema["key"].dataType["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gifs = b["media"].to_pylist()
-            known = {g: features(g) for g in dict.fromkeys(gifs)}
-            columns = zip(*[known[g] for g in gifs], strict=True) if gifs else [()] * len(names)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_bytes", *names])
+        key = None
 
-    return map_batches(media, work, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        def emit() -> pa.RecordBatch:
+            values = [key["n_bytes"], size, digest.hexdigest(), zlib.crc32(tail), key["media_bytes"], key["media_sha256"], f"frames={n};ms={end};grey={','.join(map(str, grey.tolist()))}"]
+            return pa.RecordBatch.from_arrays([pa.array([key["doc_id"]], doc_type), *[pa.array([v], t) for v, t in zip(values, types, strict=True)]], names=names)
+
+        for b in batches:
+            doc_type = b["key"].type.field("doc_id").type
+            for k, start, delay, rgba, red in zip(*[b[c].to_pylist() for c in ("key", "start_ms", "delay_ms", "rgba", "red")], strict=True):
+                if key is None or k["row"] != key["row"]:
+                    if key is not None:
+                        yield emit()
+                    key, digest, size, tail, grey, n, end = k, hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
+                payload = rgba[::4]  # all three colours of a grey are its index
+                digest.update(payload)
+                size, tail, n, end = size + len(payload), payload[-64:], n + 1, start + delay
+                grey += np.array(red, np.int64)
+        if key is not None:
+            yield emit()
+
+    wanted = shown.select("key", "frame", "start_ms", "delay_ms", "rgba", "red")
+    one = F.col("key.n_bytes") <= WIDTH * ROWS
+    # Only the frames of longer texts have to be brought together.
+    many = wanted.filter(~one).repartition(spread(spark), F.col("key.row")).sortWithinPartitions("key.row", "frame")
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_batches(wanted.filter(one), work, schema).unionByName(map_batches(many, work, schema))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """The registered query's columns."""
-    return read_back(stored(docs))
+    """The registered query's columns; media and frames are written and read back."""
+    return read_back(frame_table(spool(stored(docs), "media")))
