@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import time
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparseloom.operators.ingest import build_graph, drop_parallel, drop_self_loops, symmetrise
+from sparseloom.operators.ingest import build_graph
+from sparseloom.operators.stars import star_components
 from sparseloom.plans.graph import INF, Graph
-from sparseloom.plans.program import CHECK, Metrics, VertexProgram, run
+from sparseloom.plans.program import CHECK, Dealt, Metrics, VertexProgram, deal, run
 from sparseloom.plans.storage import drop_spooled, spool
 
 ALPHA, TOLERANCE = 0.15, 1e-5
@@ -16,6 +19,7 @@ ALPHA, TOLERANCE = 0.15, 1e-5
 
 def degree(graph: Graph, by: str = "src", weighted: bool = False) -> DataFrame:
     """(vid, degree): edges with the vertex as ``by``, parallel ones each; with ``weighted``, their weights' sum."""
+    graph = graph.checked()
     amount = F.sum("weight") if weighted else F.count(F.lit(1))
     counts = graph.edges.groupBy(F.col(by).alias("vid")).agg(amount.alias("degree"))
     return graph.vertices().join(counts, "vid", "left").select("vid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
@@ -53,6 +57,7 @@ def pagerank(graph: Graph, iterations: int = 0, *, mute_zero_indegree: bool = Tr
     here; False is the textbook's. ``iterations`` 0: until no rank moves by more than
     1e-5. ``split`` runs a fixed count over the edges that matter only (see split_pagerank).
     """
+    graph = graph.checked()
     if iterations and split:
         return split_pagerank(graph, iterations, mute_zero_indegree, weighted)
     used = graph if weighted else graph.unweighted()
@@ -67,16 +72,18 @@ def split_pagerank(graph: Graph, iterations: int, mute_zero_indegree: bool, weig
     in-edges; what the others send is summed once; and the last superstep reaches everyone.
     Parallel edges are folded into a multiplicity (or summed weight) first.
     """
-    metrics = Metrics(iterations)
+    began = time.perf_counter()
+    metrics = Metrics(iterations, ingress_seconds=graph.ingress_seconds)
     amount = F.sum("weight") if weighted else F.count(F.lit(1))
     edges = graph.edges.groupBy("src", "dst").agg(amount.cast("double").alias("_times"))
     out = graph.edges.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
     reached = graph.edges.select(F.col("dst").alias("vid")).distinct()
     moving = out.join(reached, "vid", "left_semi")
     shares = moving.select(F.col("vid").alias("src"), "degree")
+    inner = moving.select(F.col("vid").alias("dst"), F.lit(True).alias("_inner"))
     # Shares of rank per edge, dealt by source once; the loop's messages come to them.
-    live = edges.join(shares, "src").select("src", "dst", (F.col("_times") / F.col("degree")).alias("_share")).persist(StorageLevel.MEMORY_AND_DISK)
-    loop = live.join(moving.select(F.col("vid").alias("dst")), "dst", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    live = deal(edges.join(shares, "src").join(inner, "dst", "left").select("src", "dst", (F.col("_times") / F.col("degree")).alias("_share"), F.coalesce("_inner", F.lit(False)).alias("_inner")))
+    loop = Dealt(live.edges.filter("_inner"), live.parts)
     still = None
     if not mute_zero_indegree:
         first = out.join(reached, "vid", "left_anti").select(F.col("vid").alias("src"), "degree")
@@ -84,31 +91,40 @@ def split_pagerank(graph: Graph, iterations: int, mute_zero_indegree: bool, weig
     state = moving.select("vid", F.lit(ALPHA).alias("rank"))
     if still is not None:
         state = state.join(still, "vid", "left")
-    state = spool(state, "pagerank") if iterations > 1 else state
+    written = None
+    if iterations > 1:
+        state = written = spool(state, "pagerank")
     fixed = F.coalesce("_still", F.lit(0.0)) if still is not None else F.lit(0.0)
     kept = ["_still"] if still is not None else []
 
-    def moved(over: DataFrame, ranks: DataFrame) -> DataFrame:
-        return over.join(ranks.select(F.col("vid").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("rank") * F.col("_share")).alias("_sum"))
+    def moved(over: Dealt, ranks: DataFrame) -> DataFrame:
+        return over.joined(ranks.select(F.col("vid").alias("src"), "rank")).groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("rank") * F.col("_share")).alias("_sum"))
 
     def rank(extra: Column) -> Column:
         return (F.lit(ALPHA) + F.lit(1 - ALPHA) * (F.coalesce("_sum", F.lit(0.0)) + extra)).alias("rank")
 
+    metrics.initial_seconds = time.perf_counter() - began
     try:
         for i in range(1, iterations):
+            stepped = time.perf_counter()
             state = state.join(moved(loop, state), "vid", "left").select("vid", rank(fixed), *kept)
             if i % CHECK == 0:
-                before, state = state, spool(state, "pagerank")
-                del before
-        last = moved(live, state)
-        final = graph.vertices().join(last, "vid", "left")
+                state = spool(state, "pagerank")
+                drop_spooled(written)
+                written = state
+            metrics.step_seconds.append(time.perf_counter() - stepped)
+        stepped = time.perf_counter()
+        final = graph.vertices().join(moved(live, state), "vid", "left")
         if still is not None:
             final = final.join(still, "vid", "left")
-        final = final.join(pagerank_seed(graph, mute_zero_indegree), "vid").select("vid", "degree", rank(fixed))
-        return spool(final, "pagerank"), metrics
+        final = spool(final.join(pagerank_seed(graph, mute_zero_indegree), "vid").select("vid", "degree", rank(fixed)), "pagerank")
+        metrics.step_seconds.append(time.perf_counter() - stepped)
+        return final, metrics
     finally:
-        loop.unpersist()
-        live.unpersist()
+        live.release()
+        if written is not None:
+            drop_spooled(written)
+        metrics.execute_seconds = time.perf_counter() - began
 
 
 def bfs(graph: Graph, root: int = 0) -> tuple[DataFrame, Metrics]:
@@ -126,8 +142,8 @@ def bfs(graph: Graph, root: int = 0) -> tuple[DataFrame, Metrics]:
         apply=lambda total, i: {"parent": F.when(unseen & total.isNotNull(), total).otherwise(F.col("parent")), "hops": F.when(unseen & total.isNotNull(), F.lit(i + 1).cast("long")).otherwise(F.col("hops"))},
         changed=lambda total, i: unseen & total.isNotNull(),
     )
-    used = Graph(drop_parallel(symmetrise(drop_self_loops(graph.unweighted().edges))), graph.num_vertices)
-    found, metrics = run(used, program)
+    used = build_graph(graph.unweighted().edges, graph.num_vertices, self_loops=False, directed=False, parallel_edges=False)
+    found, metrics = run(replace(used, ingress_seconds=graph.ingress_seconds), program)
     return found.withColumn("hops", F.coalesce("hops", F.lit(INF).cast("long"))), metrics
 
 
@@ -146,7 +162,7 @@ def sssp(graph: Graph, root: int = 0, unit: bool = False) -> tuple[DataFrame, Me
         changed=lambda total, i: nearer(total),
     )
     used = build_graph(graph.edges if weighted else graph.unweighted().edges, graph.num_vertices, self_loops=False, parallel_edges=False)
-    found, metrics = run(used, program)
+    found, metrics = run(replace(used, ingress_seconds=graph.ingress_seconds), program)
     return found.withColumn("distance", F.coalesce("distance", F.lit(INF).cast("long"))), metrics
 
 
@@ -165,27 +181,9 @@ def connected_components(graph: Graph, method: str = "stars") -> tuple[DataFrame
             apply=lambda total, i: {"label": F.least("label", total)},
             changed=lambda total, i: total < F.col("label"),
         )
-        return run(build_graph(graph.unweighted().edges, graph.num_vertices, directed=False, parallel_edges=False), program)
-    roots, rounds = star_components(graph.edges)
+        used = build_graph(graph.unweighted().edges, graph.num_vertices, directed=False, parallel_edges=False)
+        return run(replace(used, ingress_seconds=graph.ingress_seconds), program)
+    began = time.perf_counter()
+    roots, rounds = star_components(graph.checked().edges)
     found = graph.vertices().join(roots, "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"))
-    return found, Metrics(rounds)
-
-
-def star_components(edges: DataFrame) -> tuple[DataFrame, int]:
-    """(vid, root) of vertices that are not their own root, by alternating large and small stars."""
-    now = spool(drop_parallel(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))), "stars")
-    mark, rounds = None, 0
-    while True:
-        rounds += 1
-        both = symmetrise(now)
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        after = spool(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct(), "stars")
-        sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        drop_spooled(now)
-        now = after
-        if sign == mark:
-            return now.select(F.col("src").alias("vid"), F.col("dst").alias("root")), rounds
-        mark = sign
+    return found, Metrics(rounds, time.perf_counter() - began, ingress_seconds=graph.ingress_seconds)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparseloom.plans.graph import Graph, checked_ids
+from sparseloom.sources.edges import read_edges
 
 
 def _rest(edges: DataFrame) -> list[str]:
@@ -52,7 +56,21 @@ def build_graph(
         found = symmetrise(found)
     if not parallel_edges:
         found = drop_parallel(found)
-    return Graph(found, num_vertices, records_read)
+    return Graph(found, num_vertices, records_read, ids_checked=True)
+
+
+def load(
+    spark: SparkSession, path: str, num_vertices: int, *, directed: bool = True, transposed: bool = False, self_loops: bool = True, acyclic: bool = False,
+    parallel_edges: bool = True, weighted: bool = False, fmt: str | None = None,
+) -> Graph:
+    """The graph of an edge list, text or binary (``fmt``; None: told by its first bytes).
+
+    Records are counted as they are read (``records_read``), and the load is timed.
+    """
+    began = time.perf_counter()
+    found = read_edges(spark, path, fmt, weighted)
+    graph = build_graph(found, num_vertices, directed=directed, transposed=transposed, self_loops=self_loops, acyclic=acyclic, parallel_edges=parallel_edges, records_read=found.count())
+    return replace(graph, ingress_seconds=time.perf_counter() - began)
 
 
 def edge_metrics(before: DataFrame, graph: Graph) -> DataFrame:

@@ -6,7 +6,7 @@ are 0..num_vertices, both included, so vertices without edges have state as well
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,10 @@ class Graph:
     num_vertices: int
     #: Edge records before any were dropped; None where nobody counted.
     records_read: int | None = None
+    #: Seconds that the load took; None where none was timed.
+    ingress_seconds: float | None = None
+    #: Whether ids outside the universe make a run fail already.
+    ids_checked: bool = False
 
     @property
     def weighted(self) -> bool:
@@ -38,7 +42,14 @@ class Graph:
         return self.spark.range(0, self.num_vertices + 1).withColumnRenamed("id", "vid")
 
     def unweighted(self) -> Graph:
-        return Graph(self.edges.select("src", "dst"), self.num_vertices, self.records_read)
+        return replace(self, edges=self.edges.select("src", "dst"))
+
+    def checked(self) -> Graph:
+        return self if self.ids_checked else replace(self, edges=checked_ids(self.edges, self.num_vertices), ids_checked=True)
+
+    def transposed(self) -> Graph:
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        return replace(self, edges=self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
     def edges_kept(self) -> int:
         return self.edges.count()

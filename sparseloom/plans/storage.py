@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session has none (tests, a single machine), a folder
-    below the SQL warehouse, which Spark also needs to be shared."""
+    """``spark.checkpoint.dir``. Where the session has none, a local master gets a folder below the SQL
+    warehouse; on a cluster that is an error, since the folder might not be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
@@ -34,10 +38,16 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 def drop_spooled(df: DataFrame) -> None:
     """Delete the table behind a frame that spool() returned, once nothing needs it."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        if "/sparseloom-" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder = files[0].rpartition("/")[0]
+        if "/sparseloom-" in folder:
+            delete_files(df.sparkSession, [folder])
+
+
+def delete_files(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete files, or whole folders, of any file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(p) if "://" in p or p.startswith("file:") else p)
+        path.getFileSystem(conf).delete(path, True)
