@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparseloom.plans.graph import Graph
@@ -40,8 +40,28 @@ def blocked_edges(graph: Graph) -> DataFrame:
 
 def tile_histogram(graph: Graph, tiles: int) -> DataFrame:
     """Edges in each block of a tiles x tiles grid over the adjacency matrix."""
+    return graph.edges.groupBy(*[c.alias(n) for n, c in tile_of(graph, tiles).items()]).agg(F.count(F.lit(1)).alias("edges"))
+
+
+def tile_of(graph: Graph, tiles: int) -> dict[str, Column]:
+    """The row and column of the tile in which an edge lies."""
     height = -(-(graph.num_vertices + 1) // tiles)
-    return graph.edges.groupBy(F.floor(F.col("src") / height).alias("row_tile"), F.floor(F.col("dst") / height).alias("col_tile")).agg(F.count(F.lit(1)).alias("edges"))
+    return {"row_tile": F.floor(F.col("src") / height), "col_tile": F.floor(F.col("dst") / height)}
+
+
+def distributed(graph: Graph, tiles: int) -> DataFrame:
+    """Edges dealt by their tile over tiles x tiles partitions."""
+    return graph.edges.withColumns(tile_of(graph, tiles)).repartition(tiles * tiles, "row_tile", "col_tile").drop("row_tile", "col_tile")
+
+
+def balance_report(graph: Graph, tiles: int, threshold: float = 0.2) -> DataFrame:
+    """(kind, part, edges, ratio, balanced): edges of each tile, tile row and tile column that has any, and
+    their ratio to the mean over all of its kind, empty ones included."""
+    each = tile_histogram(graph, tiles)
+    mean = F.sum("edges").over(Window.partitionBy("kind")) / F.when(F.col("kind") == "tile", tiles * tiles).otherwise(tiles)  # as many rows as tiles
+    kinds = [("tile", F.col("row_tile") * tiles + F.col("col_tile")), ("row", F.col("row_tile")), ("column", F.col("col_tile"))]
+    parts = each.select("edges", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.cast("long").alias("part")) for k, p in kinds])).alias("p")).groupBy("p.kind", "p.part").agg(F.sum("edges").alias("edges"))
+    return parts.withColumn("ratio", F.col("edges") / mean).withColumn("balanced", F.abs(F.col("ratio") - 1) <= threshold)
 
 
 def partition_balance(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparseloom.functions import stats
 from sparseloom.operators import algorithms as alg
-from sparseloom.operators import classify, ingest
+from sparseloom.operators import apps, classify, ingest
 from sparseloom.plans.graph import INF, Graph
 from sparseloom.plans.program import VertexProgram, run
 from sparseloom.plans.storage import new_path
@@ -31,7 +31,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def from_edges(name: str, of: str, make: Callable[[DataFrame], DataFrame], body: str) -> None:
-    register(name, lambda spark, d: make(edges(spark, d, of)), f"WITH e AS ({EDGE_SQL[of]}) {body}")
+    register(name, lambda spark, d: make(edges(spark, d, of)), f"WITH e AS ({EDGE_SQL[of]}){'' if body.startswith(',') else ' '}{body}")
 
 
 def from_graph(name: str, of: str, make: Callable[[Graph], DataFrame], body: str | None) -> None:
@@ -68,7 +68,10 @@ register(
     f"""WITH e AS ({EDGE_SQL["part_supp"]}) SELECT (SELECT count(*) FROM e) AS records_read, (SELECT count(*) FROM e WHERE src = dst) AS self_loops,
     (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e WHERE src <> dst)) AS edges_kept""",
 )
-register("edges_hash_weight", lambda spark, d: io.hash_weights(edges(spark, d, "order_cust")))
+from_edges(
+    "edges_hash_weight", "order_cust", lambda e: io.hash_weights(e, 3),
+    """SELECT src, dst, (((src % 2147483647) * 48271 + (dst % 2147483647) * 69621 + 3) % 2147483647 * 16807 % 2147483647) // 16777216 + 1 AS weight FROM e""",
+)
 
 
 # Files: what is written comes back.
@@ -93,7 +96,45 @@ def convert_text_to_weighted_binary(spark: SparkSession, d: str) -> DataFrame:
 WHOLE = f"WITH e AS ({EDGE_SQL['order_cust']}) SELECT src, dst, weight FROM e"
 register("text_roundtrip", text_roundtrip, WHOLE)
 register("binary_roundtrip", binary_roundtrip, WHOLE)
-register("convert_text_to_weighted_binary", convert_text_to_weighted_binary, f"WITH e AS ({EDGE_SQL['order_cust']}) SELECT count(*) AS edges, max(greatest(src, dst)) + 5 AS max_id FROM e")
+register("convert_text_to_weighted_binary", convert_text_to_weighted_binary, f"WITH e AS ({EDGE_SQL['order_cust']}) SELECT count(*) AS edges, max(greatest(src, dst)) + 5 AS max_id, CAST(0 AS BIGINT) AS comments, count(*) AS lines FROM e")
+
+
+def convert_commented_text(spark: SparkSession, d: str) -> DataFrame:
+    found, text, other = edges(spark, d, "order_cust"), new_path(spark, "text"), new_path(spark, "text")
+    remarks = found.filter("src % 10 = 0").select(F.concat(F.when(F.col("src") % 20 == 0, "# ").otherwise("% "), F.col("src").cast("string")).alias("value"))
+    found.select(F.concat_ws(" ", "src", "dst", "weight").alias("value")).unionByName(remarks).write.text(text)
+    return io.convert(spark, text, other, source_weighted=True, target_format="text")
+
+
+register(
+    "convert_commented_text", convert_commented_text,
+    f"WITH e AS ({EDGE_SQL['order_cust']}), c AS (SELECT count(*) AS n FROM e WHERE src % 10 = 0) SELECT count(*) AS edges, max(greatest(src, dst)) AS max_id, any_value(n) AS comments, count(*) + any_value(n) AS lines FROM e, c",
+)
+
+
+def from_file(spark: SparkSession, d: str, of: str, binary: bool, weighted: bool = False) -> tuple[str, int]:
+    """The path of a graph that was written as a file, and its largest id."""
+    found, path = graph(spark, d, of), new_path(spark, "edges")
+    (io.write_binary if binary else io.write_text)(found.edges if weighted else found.edges.select("src", "dst"), path)
+    return path, found.num_vertices
+
+
+def loaded(binary: bool, **flags) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path, n = from_file(spark, d, "part_supp", binary, weighted=True)
+        found = ingest.load(spark, path, n, weighted=True, **flags)
+        return found.edges.withColumn("records_read", F.lit(found.records_read).cast("long"))
+
+    return query
+
+
+PART_SUPP = f"WITH e AS ({EDGE_SQL['part_supp']})"
+register("load_text_file", loaded(False, transposed=True), f"{PART_SUPP} SELECT dst AS src, src AS dst, weight, (SELECT count(*) FROM e) AS records_read FROM e")
+register(
+    "load_binary_file", loaded(True, directed=False, self_loops=False, parallel_edges=False),
+    f"""{PART_SUPP} SELECT src, dst, min(weight) AS weight, (SELECT count(*) FROM e) AS records_read
+    FROM (SELECT src, dst, weight FROM e WHERE src <> dst UNION ALL SELECT dst, src, weight FROM e WHERE src <> dst) GROUP BY src, dst""",
+)
 
 # Vertex sets, classes and layout.
 CLASSES = """io AS (SELECT v.vid, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM v
@@ -108,7 +149,18 @@ from_graph(
     f"{CLASSES} SELECT a.vclass AS src_class, b.vclass AS dst_class, count(*) AS edges FROM e JOIN k a ON a.vid = e.src JOIN k b ON b.vid = e.dst GROUP BY 1, 2",
 )
 from_graph("tile_histogram", "part_supp", lambda g: classify.tile_histogram(g, 4), "h AS (SELECT (max(greatest(src, dst)) + 4) // 4 AS h FROM e) SELECT src // h AS row_tile, dst // h AS col_tile, count(*) AS edges FROM e, h GROUP BY 1, 2")
-register("partition_balance", lambda spark, d: classify.partition_balance(edges(spark, d, "part_supp").repartition(8, "src")))
+from_edges(
+    "partition_balance", "part_supp", lambda e: classify.partition_balance(e.repartitionById(8, F.pmod("src", F.lit(8)).cast("int"))).withColumn("ratio", sixth("ratio")),
+    """, p AS (SELECT src % 8 AS partition, count(*) AS edges FROM e GROUP BY 1) SELECT CAST(partition AS INTEGER) AS partition, edges, round(edges / (SELECT avg(edges) FROM p), 6) AS ratio FROM p""",
+)
+TILES = "h AS (SELECT (max(greatest(src, dst)) + 4) // 4 AS h FROM e), t AS (SELECT src // h AS r, dst // h AS c, count(*) AS edges FROM e, h GROUP BY 1, 2)"
+from_graph(
+    "balance_report", "part_supp", lambda g: classify.balance_report(g, 4).withColumn("ratio", sixth("ratio")),
+    f"""{TILES}, k AS (SELECT 'tile' AS kind, 4 * r + c AS part, edges, 16 AS n FROM t UNION ALL SELECT 'row', r, sum(edges), 4 FROM t GROUP BY r UNION ALL SELECT 'column', c, sum(edges), 4 FROM t GROUP BY c),
+    x AS (SELECT kind, CAST(part AS BIGINT) AS part, CAST(edges AS BIGINT) AS edges, edges * n / CAST((SELECT count(*) FROM e) AS DOUBLE) AS ratio FROM k)
+    SELECT kind, part, edges, round(ratio, 6) AS ratio, abs(ratio - 1) <= 0.2 AS balanced FROM x""",
+)
+from_graph("edges_distributed", "part_supp", lambda g: classify.distributed(g, 4), "w AS (SELECT src, dst, weight FROM e) SELECT src, dst, weight FROM w")
 
 # Degree.
 DEGREE = "d AS (SELECT v.vid, coalesce(n, 0) AS degree FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) c ON c.src = v.vid)"
@@ -150,7 +202,12 @@ from_graph("pagerank_1", "order_part", lambda g: ranked(g, 1), f"{ranks_sql(1)}
 from_graph("pagerank_plain_5", "order_part", lambda g: ranked(g, 5, split=False), f"{ranks_sql(5)} {RANKED}")
 from_graph("pagerank_textbook_20", "order_part", lambda g: ranked(g, 20, mute_zero_indegree=False), f"{ranks_sql(20, muted=False)} {RANKED}")
 from_graph("pagerank_weighted_5", "user_next", lambda g: ranked(g, 5, 3, weighted=True), f"{ranks_sql(5, weighted=True)} SELECT vid, degree, round(rank, 3) AS rank FROM p")
-from_graph("pagerank_converged", "user_next", lambda g: ranked(g, 0), None)
+# Every row carries the step's largest move, which ends the recursion.
+CONVERGED = f"""{ranks_sql(0).rpartition(", p AS")[0]}, i(step, vid, rank, moved) AS (SELECT 0, vid, rank, CAST(1 AS DOUBLE) FROM r0
+    UNION ALL SELECT step, vid, rank, max(abs(rank - old)) OVER () FROM (
+        SELECT i.step + 1 AS step, i.vid, 0.15 + 0.85 * coalesce(t, 0) AS rank, i.rank AS old FROM i
+        LEFT JOIN (SELECT m.dst, sum(j.rank * m.share) AS t FROM m JOIN i j ON j.vid = m.src GROUP BY m.dst) x ON x.dst = i.vid WHERE i.moved > 1e-5))"""
+from_graph("pagerank_converged", "user_next", lambda g: ranked(g, 0), f"{CONVERGED} SELECT i.vid, s.degree, round(i.rank, 8) AS rank FROM i JOIN s ON s.vid = i.vid WHERE step = (SELECT max(step) FROM i)")
 from_graph(
     "pagerank_checksum", "order_part", lambda g: stats.checksum(alg.pagerank(g, 20)[0], "rank", 0.0).withColumn("exact_sum", sixth("exact_sum")),
     f"{ranks_sql(20)} SELECT CAST(sum(floor(rank)) AS BIGINT) AS checksum, round(sum(rank), 6) AS exact_sum, count(*) AS reachable FROM p WHERE rank <> 0",
@@ -192,10 +249,38 @@ from_graph("cc_sizes", "order_part", lambda g: alg.connected_components(g)[0].gr
 from_graph("cc_count", "order_part", lambda g: alg.connected_components(g)[0].agg(F.count_distinct("label").alias("components")), f"{LABELS} SELECT count(DISTINCT label) AS components FROM l")
 
 
-# A program of the user's own: each vertex's least weight of an in-edge.
-def least_in_weight(g: Graph) -> DataFrame:
+# Applications, from a file to printed states.
+def app(name: str, of: str, binary: bool = True, weighted: bool = False, iterations: int = 0) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path, n = from_file(spark, d, of, binary, weighted)
+        return apps.run_app(name, spark, path, n, root=n, weighted=weighted, iterations=iterations).shown
+
+    return query
+
+
+def from_app(name: str, of: str, body: str, **options) -> None:
+    register(f"app_{name}", app(name, of, **options), f"WITH RECURSIVE e AS ({EDGE_SQL[of]}), v AS ({UNIVERSE}), {body} ORDER BY vid LIMIT 31")
+
+
+OR_INF = f"CASE WHEN {{0}} = {INF} THEN 'INF' ELSE CAST({{0}} AS VARCHAR) END"
+from_app("degree", "part_supp", f"{DEGREE} SELECT vid, 'Degree=' || degree AS text FROM d", binary=False)
+from_app("pagerank", "order_part", f"{ranks_sql(20)} SELECT vid, printf('Rank=%.6f,Degree=%d', rank, degree) AS text FROM p", iterations=20)
+from_app("bfs", "order_part", f"{LEVELS} SELECT vid, 'Parent=' || parent || ',Hops=' || {OR_INF.format('hops')} AS text FROM b")
+from_app("sssp", "order_part", f"{distances('weight')} SELECT vid, 'Distance=' || {OR_INF.format('distance')} AS text FROM s", binary=False, weighted=True)
+from_app("components", "order_cust", f"{LABELS} SELECT vid, 'Label=' || label AS text FROM l")
+
+
+def kernel(spark: SparkSession, d: str) -> DataFrame:
+    return apps.kernel_report(spark, *from_file(spark, d, "order_part", True), 5).select("iterations", "operations", sixth("final_value").alias("final_value"), "bytes")
+
+
+register("kernel_report", kernel, f"WITH RECURSIVE e AS ({EDGE_SQL['order_part']}), v AS ({UNIVERSE}), {ranks_sql(5)}, n AS (SELECT count(*) AS n FROM e) SELECT CAST(5 AS BIGINT) AS iterations, 5 * any_value(n) AS operations, round(sum(rank), 6) AS final_value, 16 * any_value(n) + 16 * count(*) AS bytes FROM p, n")
+
+
+# A program of the user's own: each vertex's least weight of an in-edge, or by column of an out-edge.
+def least_weight(g: Graph, order: str = "row") -> DataFrame:
     program = VertexProgram(
-        name="least_in_weight",
+        name="least_weight",
         initial={"least": F.lit(None).cast("long")},
         message=F.lit(1),
         edge_op=lambda message, weight: weight,
@@ -204,7 +289,8 @@ def least_in_weight(g: Graph) -> DataFrame:
         changed=lambda total, i: F.lit(False),
         stationary=True,
     )
-    return run(g, program, 1)[0]
+    return run(g, program, 1, order=order)[0]
 
 
-from_graph("custom_program_min_weight", "order_part", least_in_weight, "w AS (SELECT dst, min(weight) AS least FROM e GROUP BY dst) SELECT v.vid, w.least FROM v LEFT JOIN w ON w.dst = v.vid")
+from_graph("custom_program_min_weight", "order_part", least_weight, "w AS (SELECT dst, min(weight) AS least FROM e GROUP BY dst) SELECT v.vid, w.least FROM v LEFT JOIN w ON w.dst = v.vid")
+from_graph("custom_program_by_column", "order_part", lambda g: least_weight(g, "col"), "w AS (SELECT src, min(weight) AS least FROM e GROUP BY src) SELECT v.vid, w.least FROM v LEFT JOIN w ON w.src = v.vid")

@@ -2,7 +2,8 @@
 
 Text: ``src dst[ weight]`` a line, one space between. Binary: little-endian unsigned 32-bit
 numbers, two or three a record. Both are read through Spark's own input formats, so any
-Hadoop file system works and files are split at records; parsing is done by built-in functions.
+Hadoop file system works and files are split at records. Text is parsed by built-in functions, binary
+records by whole Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -33,20 +34,23 @@ def comment_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value").rlike(COMMENT))
 
 
-def _uint32(at: int) -> Column:
-    """Bytes at+1..at+4 of ``value``, little-endian."""
-    octets = [F.hex(F.substring("value", at + k, 1)) for k in (4, 3, 2, 1)]
-    return F.conv(F.concat(*octets), 16, 10).cast("long")
-
-
 def read_binary(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
-    """Records stay in the JVM: Hadoop's fixed-length input splits the file, columns are cut from the bytes."""
-    width = 12 if weighted else 8
+    """Hadoop's fixed-length input splits the files at records; the bytes of a batch of records are read as one array."""
+    names = ("src", "dst", "weight")[: 3 if weighted else 2]
+    width = 4 * len(names)
     jvm, session = spark.sparkContext._jvm, spark._jsparkSession
-    context = session.sparkContext()
-    records = context.binaryRecords(path, width, spark.sparkContext._jsc.hadoopConfiguration())
+    records = session.sparkContext().binaryRecords(path, width, spark.sparkContext._jsc.hadoopConfiguration())
     rows = DataFrame(session.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
-    return rows.select(*[_uint32(4 * i).alias(c) for i, c in enumerate(("src", "dst", "weight")[: width // 4])])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(0).cast(pa.large_binary())
+            _, ends, data = column.buffers()
+            first, last = np.frombuffer(ends, np.int64)[[column.offset, column.offset + len(column)]] if len(column) else (0, 0)
+            numbers = np.frombuffer(data or b"", np.uint8)[first:last].view("<u4").reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[:, k].astype(np.int64)) for k in range(len(names))], names=list(names))
+
+    return rows.mapInArrow(decoded, ", ".join(f"{n} long" for n in names))
 
 
 def sniff_format(spark: SparkSession, path: str) -> str:
@@ -124,9 +128,16 @@ def offset_ids(edges: DataFrame, offset: int) -> DataFrame:
     return edges.select((F.col("src") + offset).alias("src"), (F.col("dst") + offset).alias("dst"), *rest)
 
 
+#: A prime modulus and full-period multipliers for it (Park and Miller 1988; Fishman and Moore 1986).
+PRIME, MULTIPLIERS = 2147483647, (16807, 48271, 69621)
+
+
 def hash_weights(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """Weights from 1 to 128 that depend on the edge and the seed only."""
-    return edges.select("src", "dst", (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(128)) + 1).cast("long").alias("weight"))
+    """Weights from 1 to 128 that depend on the edge and the seed only, by arithmetic that any SQL has."""
+    step, of_src, of_dst = MULTIPLIERS
+    mixed = F.pmod(F.pmod("src", F.lit(PRIME)) * of_src + F.pmod("dst", F.lit(PRIME)) * of_dst + F.lit(seed % PRIME), F.lit(PRIME))
+    # Low bits of one step are poor; the quotient by the modulus' 128th part is not.
+    return edges.select("src", "dst", (F.floor(F.pmod(mixed * step, F.lit(PRIME)) / F.lit(PRIME // 128 + 1)) + 1).cast("long").alias("weight"))
 
 
 def drop_weights(edges: DataFrame) -> DataFrame:
@@ -138,8 +149,16 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.max(F.greatest("src", "dst")).alias("max_id"))
 
 
+def source_lines(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """One row: comment lines of a text source, none of a binary one."""
+    if (fmt or sniff_format(spark, path)) == "binary":
+        return spark.range(1).select(F.lit(0).cast("long").alias("comments"))
+    return spark.read.text(path).agg(F.count_if(F.col("value").rlike(COMMENT)).alias("comments"))
+
+
 def convert(spark: SparkSession, source: str, target: str, *, source_format: str | None = None, source_weighted: bool = False, target_format: str = "binary", target_weighted: bool = False, offset: int = 0, seed: int = 0) -> DataFrame:
-    """Read, shift ids, add or drop weights, write; gives edge_stats() of what was written."""
+    """Read, shift ids, add or drop weights, write; one row of what was read and written: edges, max_id,
+    comments, and lines (edges and comments)."""
     edges = read_edges(spark, source, source_format, source_weighted)
     if offset:
         edges = offset_ids(edges, offset)
@@ -150,4 +169,5 @@ def convert(spark: SparkSession, source: str, target: str, *, source_format: str
     if target_format not in ("text", "binary"):
         raise ValueError(f"unknown edge format {target_format!r}")
     (write_text if target_format == "text" else write_binary)(edges, target)
-    return edge_stats(read_edges(spark, target, target_format, target_weighted))
+    written = edge_stats(read_edges(spark, target, target_format, target_weighted))
+    return written.crossJoin(source_lines(spark, source, source_format)).withColumn("lines", F.col("edges") + F.col("comments"))  # one row each
