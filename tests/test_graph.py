@@ -4,10 +4,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparseloom.functions import stats
 from sparseloom.operators import algorithms as alg
-from sparseloom.operators import classify, ingest
+from sparseloom.operators import apps, classify, ingest
+from sparseloom.plans import hot, program
 from sparseloom.plans.graph import INF, WEIGHTED_EDGE, Graph
 from sparseloom.sources import edges as io
 
@@ -135,3 +137,85 @@ def test_empty_graph(spark):
     assert column(alg.pagerank(empty, 3)[0], "rank") == [0.15] * 3
     assert column(alg.bfs(empty, 1)[0], "hops") == [INF, 0, INF]
     assert column(alg.connected_components(empty)[0], "label") == [0, 1, 2]
+
+
+def exchanges_above_cache(df):
+    """Shuffles and sorts between the join and the cached edges, its left side."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    cache = next(i for i, x in enumerate(lines) if i > join and "InMemoryTableScan" in x)
+    return sum("Exchange" in x or "Sort " in x for x in lines[join + 1 : cache])
+
+
+def test_a_superstep_does_not_exchange_the_edges(spark, tiny):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for split in (None, 2):
+            dealt = program.deal(tiny.edges, split)
+            assert (dealt.parts is None) == (split is None)
+            joined = dealt.joined(tiny.vertices().select(F.col("vid").alias("src"), F.lit(1).alias("m")))
+            assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+            assert exchanges_above_cache(joined) == 0
+            assert joined.count() == 10
+            dealt.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hubs_are_split(tiny, monkeypatch):
+    monkeypatch.setattr(program, "SPLIT", 1)
+    monkeypatch.setattr(hot, "LEAST", 0)
+    assert column(alg.sssp(tiny, 1)[0], "distance") == WEIGHTED
+    assert column(alg.bfs(tiny, 1)[0], "parent") == PARENT
+    assert column(alg.pagerank(tiny, 20, mute_zero_indegree=False)[0], "rank") == pytest.approx(TEXTBOOK, abs=1e-6)
+    assert column(alg.connected_components(tiny)[0], "label") == LABEL
+
+
+def test_long_paths_outlive_written_states(spark):
+    n = 3 * program.CHECK + 2
+    path = Graph(spark.createDataFrame([(i, i + 1, 2) for i in range(n)], WEIGHTED_EDGE), n)
+    found, metrics = alg.sssp(path, 0)
+    assert column(found, "distance") == [2 * i for i in range(n + 1)]
+    assert metrics.iterations == n + 1 == len(metrics.step_seconds)
+    assert {r[0] for r in metrics.rows()} == {"ingress", "initial", "superstep", "execute", "end_to_end"}
+    assert metrics.execute_seconds >= sum(metrics.step_seconds)
+
+
+def test_a_program_with_a_fixed_count_of_supersteps_stops_early(spark):
+    path = Graph(spark.createDataFrame([(i, i + 1, 1) for i in range(6)], WEIGHTED_EDGE), 6)
+    hops = program.VertexProgram(
+        name="hops", initial={"h": F.when(F.col("vid") == 0, 0).cast("long")}, active=F.col("vid") == 0, message=F.col("h"), edge_op=lambda m, w: m + 1, combine="min",
+        apply=lambda total, i: {"h": F.coalesce("h", total)}, changed=lambda total, i: F.col("h").isNull(),
+    )
+    found, metrics = program.run(path, hops, 2)
+    assert (column(found, "h"), metrics.iterations) == ([0, 1, 2, None, None, None, None], 2)
+    with pytest.raises(ValueError, match="order"):
+        program.run(path, hops, 2, order="diagonal")
+
+
+def test_ids_outside_the_universe_fail(tiny):
+    for run in (alg.degree, lambda g: alg.pagerank(g, 2)[0], lambda g: alg.bfs(g)[0], lambda g: alg.sssp(g)[0], lambda g: alg.connected_components(g)[0]):
+        with pytest.raises(Exception, match="outside"):
+            run(Graph(tiny.edges, 8)).collect()
+
+
+def test_load_and_apps(spark, tiny, tmp_path):
+    io.write_text(tiny.edges, str(tmp_path / "t"))
+    io.write_binary(tiny.edges, str(tmp_path / "b"))
+    for path in ("t", "b"):
+        g = ingest.load(spark, str(tmp_path / path), 10, weighted=True, self_loops=False)
+        assert (g.records_read, g.edges_kept()) == (10, 9)
+        assert g.ingress_seconds > 0
+        done = apps.run_app("sssp", spark, str(tmp_path / path), 10, root=1, weighted=True)
+        assert [r.text for r in done.shown.collect()] == [f"Distance={'INF' if d == INF else d}" for d in WEIGHTED]
+        assert done.checksum.first()["reachable"] == sum(d != INF for d in WEIGHTED)
+        assert done.metrics.ingress_seconds == done.graph.ingress_seconds
+    with pytest.raises(Exception, match="outside"):
+        ingest.load(spark, str(tmp_path / "b"), 5, weighted=True).edges.collect()
+
+
+def test_hash_weights_spread(spark):
+    found = io.hash_weights(spark.range(20_000).selectExpr("id AS src", "id * 7 AS dst")).groupBy("weight").count().collect()
+    assert {r.weight for r in found} == set(range(1, 129))
+    assert max(r["count"] for r in found) < 2 * 20_000 / 128
