@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
 Features are hashed byte trigrams of the whole text (damped counts, weighted by their rarity
-among the labelled rows, scaled to unit length) and the share of words that repeat the word before. A truncated SVD of the labelled rows gives the latent space. The
+among the labelled rows, scaled to unit length) and, as one more feature beside them, the share of words that
+repeat the word before. A truncated SVD of the labelled rows gives the latent space. The
 labelled rows' unit vectors, at most SAMPLE of them, are broadcast: their size is bounded by
 SAMPLE x RANK numbers and FEATURES x RANK for the projection, whatever the corpus. Every
 document's cosines with all of them are computed exactly, a block of documents at a time; the NEAREST vote,
@@ -13,12 +14,14 @@ training rows with the least hash of their id. All else covers all data.
 Cases: null and empty texts have no features, and take the training rows' mean label as their score;
 so do all texts when there are no labels (0.5 without any); a document that is labelled twice counts
 once, with its larger label; null labels and null ids are not learned from; repeated rows are
-scored each; an empty table gives no rows; other columns are passed over or through.
+scored each; of neighbours with equal cosines at the edge any may vote; a very long text is read whole, in chunks;
+an empty table gives no rows; other columns are passed over or through, whatever their names.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,13 +133,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [np.minimum(features(t), 65535).astype(np.uint16).tobytes() for t in texts(b["_sl_text"])]
+            # Whole counts, most of them zero, so that a labelled text has the features that it is scored by.
+            packed = [zlib.compress(features(t).astype("<i8").tobytes(), 1) for t in texts(b["_sl_text"])]
             yield pa.RecordBatch.from_arrays([b["_sl_id"], b["_sl_label"], pa.array(packed, pa.binary())], names=["id", "label", "counts"])
 
     kind = wanted.schema["_sl_id"].dataType.simpleString()
     # Ids may repeat among documents: one row each, so that SAMPLE bounds the rows as well.
     found = map_batches(wanted, work, f"id {kind}, label double, counts binary").groupBy("id").agg(F.max(F.struct("counts", "label")).alias("x")).select("id", "x.*").orderBy("id").collect()
-    counts = np.array([np.frombuffer(r["counts"], np.uint16) for r in found], np.float32).reshape(-1, FEATURES + 1)
+    counts = np.zeros((len(found), FEATURES + 1), np.float32)
+    for i, r in enumerate(found):
+        counts[i] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return counts, np.array([r["label"] for r in found], np.float64)
 
 
