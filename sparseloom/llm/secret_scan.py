@@ -15,22 +15,29 @@ pairs are combined before and after the shuffle, then counted by hash.
 In ``documents``, the owner is the source and the repository is the pair of source and
 language, the closest that the table has.
 
+A hash that a great part of all rows holds is broadcast to its rows instead of dealt to one task.
+
 Cases: a null text is empty; a null owner or repository counts as one of its own; repeated
-rows and copies do not raise a count beyond their owners; an empty table gives no rows; other columns
-are not read.
+rows and copies do not raise a count beyond their owners; spans that begin at one place are ordered by kind;
+a very long text is scanned whole, in time that grows with its length; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparseloom.plans.hot import hot_limit, join_hot
+
 from .common import FILE, ROW, map_batches, spool, with_locator
 
 # The base patterns and their least lengths.
@@ -70,9 +77,11 @@ def looks_alive(value: str) -> bool:
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """Base spans, and as kind ``owned`` the other live-looking tokens."""
     found = base_spans(text)
-    edges = [(s, e) for s, e, _, _ in found]
+    starts = [s for s, _, _, _ in found]
+    ends = list(accumulate((e for _, e, _, _ in found), max))  # the furthest end of the spans so far
     for m in CANDIDATE.finditer(text):
-        if looks_alive(m[0]) and not any(s < m.end() and m.start() < e for s, e in edges):
+        before = bisect_left(starts, m.end())  # base spans that begin before the token ends
+        if (not before or ends[before - 1] <= m.start()) and looks_alive(m[0]):
             found.append((*m.span(), "owned", m[0]))
     return found
 
@@ -103,10 +112,10 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, owner: Column, reposito
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, owners, repos) over the whole corpus."""
-    seen = spans.select(F.explode("spans.hash").alias("hash"), "owner", "repo").groupBy("hash", "owner", "repo").agg(F.lit(1))
-    owners = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"))
+    """(hash, owners, repos, times) over the whole corpus."""
+    seen = spans.select(F.explode("spans.hash").alias("hash"), "owner", "repo").groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("times"))
+    owners = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+    return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"), F.sum("times").alias("times"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
@@ -115,8 +124,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repository = F.struct("source", "lang") if repository is None else repository
     rows = spool(scanned(docs, id_col, text_col, owner, repository), "candidates")
     each = rows.select(FILE, ROW, F.explode("spans").alias("s")).select(FILE, ROW, "s.*")
-    # A very common example is one hash with many rows: these are joined as they lie, and AQE splits them.
-    known = each.join(ownership(rows), "hash")
+    owned = spool(ownership(rows), "ownership")
+    total = owned.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    known = join_hot(each, owned, "hash", "times", hot_limit(docs.sparkSession, total))
     rare = (F.col("owners") <= MAX_OWNERS) & (F.col("repos") <= MAX_REPOS)
     label = F.when(rare & F.col("alive"), "owner-specific").when(rare, "inert").otherwise("widely copied")
     known = known.withColumn("class", label).filter((F.col("kind") != "owned") | (F.col("class") == "owner-specific"))
