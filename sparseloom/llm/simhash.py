@@ -16,12 +16,13 @@ only those within the radius there. What a task emits is a spanning forest of th
 verified, not the pairs. A bucket of more than BUCKET rows is cut into parts, and each pair of
 parts is a task of its own: no group has to fit one task, and no pair is left out.
 
-Components come from alternating large and small stars over the forests, with each round
-written to the shared folder.
+Components come from alternating large and small stars over the forests (operators/stars.py). Fingerprints
+that very many rows share, and groups of very many fingerprints, are broadcast to their rows instead of dealt to one task.
 
-Cases: a text without words has fingerprint zero and links like any other; equal texts share
-a fingerprint; a null id never becomes a component's id unless all of them are null; rows repeated
-with their id stay rows of their own; an empty table gives no rows.
+Cases: null and empty texts, like any without words, have fingerprint zero, which links like any other; equal
+texts share a fingerprint; a null id never becomes a component's id unless all of them are null; rows repeated
+with their id stay rows of their own; a very long text is hashed in chunks, whole; an empty table gives no
+rows; other columns are not read (or passed through, by one_of_each_group), whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparseloom.operators.stars import star_components
+from sparseloom.plans.hot import hot_limit, join_hot
+
 from .common import FILE, ROW, drop_spooled, map_batches, spool, spread, texts, with_locator
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -169,37 +173,25 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (a, b): root is the least node of the component.
-
-    Large and small stars in turn (Kiveris et al. 2014), until nothing changes.
-    """
-    now = spool(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # Small star: edges to smaller nodes only; each node's least neighbour gets the others and the node.
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a").select(F.col("b").alias("x"), "m").filter("x <> m").unionByName(low.select(F.col("a").alias("x"), "m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        after = spool(small, "edges")
-        sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_spooled(now)
-        now = after
-        if sign == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = sign
+    """(node, root) for the nodes of ``edges`` (a, b) that are not their own root, the least node of the component."""
+    found, _ = star_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("vid").alias("node"), "root")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs``: (_sl_id, FILE, ROW, fp, keep); keep (null, id, file, row) is the row of least id that it is linked with."""
     rows = spool(fingerprints(docs, id_col, text_col, width), "fingerprints")
     rank = F.struct(F.col("_sl_id").isNull().alias("none"), F.col("_sl_id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
-    fps = spool(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
+    fps = spool(rows.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     found = components(links(fps.select("fp"), radius))
-    named = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("keep"))
-    return rows.join(named.join(heads, "root").select("fp", "keep"), "fp")
+    named = spool(fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "named")
+    drop_spooled(found)
+    drop_spooled(fps)
+    # One group may hold most fingerprints, and one fingerprint most rows.
+    sizes = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    heads = named.groupBy("root").agg(F.min("least").alias("keep"), F.count(F.lit(1)).alias("n"))
+    kept = join_hot(named.drop("least"), heads, "root", "n", hot_limit(docs.sparkSession, sizes[0]))
+    return join_hot(rows, kept.select("fp", "keep", "rows"), "fp", "rows", hot_limit(docs.sparkSession, sizes[1])).drop("rows")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
