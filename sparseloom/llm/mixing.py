@@ -17,8 +17,9 @@ Bijections are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): they fit any
 indices, cost no memory and give the same result on every run.
 
 Cases: a null text has no words and takes none; a null source is a source of its own, weighed
-last; repeated rows are rows of their own; an empty table, or one without words, takes
-nothing; other columns are passed through.
+last; repeated rows are rows of their own, in the order of their files' hashes where ids tie; a very long
+text spans many blocks; an empty table, or one without words, takes nothing; other columns are
+passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
     at is the block's word where the piece begins; slots: as of plan_slots().
     """
     located = with_locator(docs, [F.col(id_col).alias("_sl_id"), F.col(source_col).alias(SRC), word_count(F.col(text_col)).alias("size")])
-    order = [F.col("_sl_id").asc_nulls_last(), F.col(FILE), F.col(ROW)]
+    order = [F.col("_sl_id").asc_nulls_last(), F.xxhash64(FILE), F.col(ROW)]  # short keys: range partitioning samples them to the driver
     placed = spool(prefix_sums(located, [SRC], order, "size", "_sl_start"), "streams")
     goals = spool(targets(placed.groupBy(SRC).agg(F.sum("size").alias("source_size")), weights), "targets")
     start, size, b = F.col("_sl_start"), F.col("size"), F.col("block")
@@ -143,14 +144,15 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     rows, pieces, slots = mix(docs, text_col=text_col, **options)
     to = F.least(F.col("to"), F.col("from") + F.col("words") - F.col("at"))
     parts = join_blocks(pieces, slots).withColumn("to", to).filter(F.col("to") > F.col("from"))
-    # A document has at most size / block + 2 parts in a pass.
-    passes = parts.groupBy(*UID, "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_sl_parts"), F.sum(F.col("to") - F.col("from")).alias("_sl_taken"))
-    located = with_locator(docs)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_sl_parts", lambda p: F.slice("_sl_words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
-    passes = passes.select(F.col(FILE).alias("_sl_f"), F.col(ROW).alias("_sl_r"), F.col("size").alias("_sl_size"), "_sl_parts", "_sl_taken")
-    out = located.join(passes, (F.col(FILE) == F.col("_sl_f")) & (F.col(ROW) == F.col("_sl_r")))
-    whole = F.col("_sl_taken") == F.col("_sl_size")
-    out = out.withColumn("_sl_words", F.when(~whole, words)).withColumn("_sl_new", F.when(whole, F.col(text_col)).otherwise(cut))
+    # A document has at most size / block + 2 parts in a pass, and MOST passes.
+    each = parts.groupBy(*UID, "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("parts"), F.sum(F.col("to") - F.col("from")).alias("taken"))
+    each = each.withColumn("whole", F.col("taken") == F.col("size"))
+    passes = each.groupBy(F.col(FILE).alias("_sl_f"), F.col(ROW).alias("_sl_r")).agg(F.collect_list(F.struct("pass", "whole", F.when(~F.col("whole"), F.col("parts")).alias("parts"))).alias("_sl_passes"))
+    # The text is split once, however many passes take a part of it.
+    split = F.when(F.exists("_sl_passes", lambda p: ~p["whole"]), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
+    found = with_locator(docs).join(passes, (F.col(FILE) == F.col("_sl_f")) & (F.col(ROW) == F.col("_sl_r")))
+    out = found.select(*docs.columns, "_sl_passes", split.alias("_sl_words")).select(*docs.columns, "_sl_words", F.explode("_sl_passes").alias("_sl_pass"))
+    cut = F.array_join(F.flatten(F.transform("_sl_pass.parts", lambda p: F.slice("_sl_words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
+    out = out.withColumn("_sl_new", F.when(F.col("_sl_pass.whole"), F.col(text_col)).otherwise(cut))
     kept = [F.col("_sl_new").alias(c) if c == text_col else F.length("_sl_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*kept)

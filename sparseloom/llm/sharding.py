@@ -7,8 +7,8 @@ the global byte line. The line is cut at equal targets: a row belongs to the sha
 holds its middle byte. So two shards differ by less than the two rows at their edges.
 
 Cases: null text counts as empty; null and repeated ids keep their own rows (null ids come
-last, repeats in the order of their files); an empty table gives no rows; other columns are
-not read. Equal texts are not kept together: a shard is a run of ids, whatever they hold.
+last, repeats in the order of their files' hashes); a very long text is a row like any other, and its shard may
+exceed the target by it; an empty table gives no rows; other columns are not read, whatever their names. Equal texts are not kept together: a shard is a run of ids, whatever they hold.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     """(id_col, size, text_crc32, shard, slot) for every row of ``docs``; slot counts from 0 in a shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = with_locator(docs, [F.col(id_col), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")])
-    order = [F.col(id_col).asc_nulls_last(), F.col(FILE), F.col(ROW)]
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(FILE), F.col(ROW)]  # short keys: range partitioning samples them to the driver
     placed = spool(prefix_sums(rows, [], order, "size", "_sl_start", "_sl_index"), "placed")
     total = placed.agg(F.sum("size").cast("decimal(38,0)").alias("_sl_total"))  # one row
     middle = F.col("_sl_start").cast("decimal(38,0)") * 2 + F.col("size")
