@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -41,7 +42,7 @@ def drop_spooled(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         folder = files[0].rpartition("/")[0]
-        if "/sparseloom-" in folder:
+        if re.search(r"/sparseloom-[0-9a-f]{32}-[^/]*$", folder):  # never a table of anyone else's
             delete_files(df.sparkSession, [folder])
 
 
