@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparseloom.plans.storage import drop_spooled, new_path, spool  # noqa: F401  for the operators
+from sparseloom.plans.storage import delete_files, drop_spooled, new_path, spool  # noqa: F401  for the operators
 
 
 FILE, ROW = "_sl_file", "_sl_row"

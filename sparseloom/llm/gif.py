@@ -9,8 +9,14 @@ composed pixels, with a histogram column for each colour.
 Code widths follow from a code's number since the last clear, so all codes up to a clear are
 unpacked at once, and both directions work on whole runs of codes instead of one after another.
 
-Cases: null and empty texts store one row of 64 zeros; equal texts give equal bytes; an
-empty table gives no rows; a stream that breaks the format raises ValueError.
+Stored media of the query are released part by part, as their frames are written, so both never lie on disk
+as a whole at once.
+
+Cases: null and empty texts store one row of 64 zeros; equal texts and repeated rows give equal bytes, each in
+rows of their own; a very long text makes many frames; a frame is clipped to the screen, and may have nothing
+left; a stream that breaks the format, or claims a screen or frame of over MOST pixels, raises ValueError in
+decode(), and is a row with an ``error`` in frames(), after the frames before it; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,17 +26,22 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_path, spool, spread, texts
+from .common import delete_files, map_batches, new_path, spread, texts
 
 WIDTH, ROWS, DELAY = 64, 1024, 10  # pixels, rows, hundredths of a second
 BINS = 16
 TABLE = 4096  # LZW codes at most
+#: Pixels that a screen or a frame may have: a hostile header claims 17 GB of them.
+MOST = 1 << 24
+#: Parts in which written media are read back and released.
+PARTS = 6
 
 
 def code_widths(m: int) -> np.ndarray:
@@ -85,8 +96,8 @@ def lzw_encode(data: bytes) -> bytes:
     return out[:-2].tobytes()
 
 
-def expand(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The indices that a run of codes between two clears puts out.
+def expand(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The indices that a run of codes between two clears puts out, up to the code with number ``most`` of them.
 
     Code j with an entry repeats what code k = entry put out, and one index more: in the output,
     that is the stretch from k's start on. So every output place points back to an earlier one,
@@ -109,6 +120,9 @@ def expand(codes: np.ndarray, clear: int) -> np.ndarray:
         lengths[far[early]] = new
     lengths[far] = lengths[back] + 1
     starts = np.cumsum(lengths) - lengths
+    n = int(np.searchsorted(starts, most))  # a few codes may stand for far more than a frame has
+    codes, k, lengths, starts = codes[:n], k[:n], lengths[:n], starts[:n]
+    far, back = far[far < n], back[far < n]
     shift = np.zeros(n, np.int64)
     shift[far] = starts[far] - starts[back]
     source = np.arange(int(starts[-1] + lengths[-1])) - np.repeat(shift, lengths)
@@ -132,7 +146,7 @@ def lzw_decode(stream: bytes, m: int, size: int) -> bytes:
     def close() -> None:
         nonlocal done, run, n
         if run:
-            out.append(expand(np.concatenate(run), clear))
+            out.append(expand(np.concatenate(run), clear, size - done))
             done += len(out[-1])
         run, n = [], 0
 
@@ -229,6 +243,8 @@ def decode(gif: bytes) -> Iterator[Frame]:
         at += 1
         return b"".join(found)
 
+    if screen_w * screen_h > MOST:
+        raise ValueError("a GIF screen of too many pixels")
     try:
         shared = palette(flags)
         canvas = np.zeros((screen_h, screen_w), np.uint32)  # transparent, as viewers show the background
@@ -250,6 +266,8 @@ def decode(gif: bytes) -> Iterator[Frame]:
                 raise ValueError(f"unknown GIF block {kind}")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", gif, at)
             at += 9
+            if w * h > MOST:
+                raise ValueError("a GIF frame of too many pixels")
             own = palette(flags)
             colours = own if own is not None else shared
             if colours is None:
@@ -263,7 +281,7 @@ def decode(gif: bytes) -> Iterator[Frame]:
             if flags & 0x40:
                 index = index[np.argsort(row_order(h))]
             before = canvas.copy() if disposal == 3 else None
-            h, w = min(h, screen_h - top), min(w, screen_w - left)
+            h, w = max(0, min(h, screen_h - top)), max(0, min(w, screen_w - left))
             index, part = index[:h, :w], canvas[top : top + h, left : left + w]
             drawn = colours[index]
             part[...] = drawn if hole is None else np.where(index == hole, part, drawn)
@@ -278,21 +296,32 @@ def decode(gif: bytes) -> Iterator[Frame]:
         raise ValueError("a GIF that breaks off") from e
 
 
-FRAMES = "frame int, start_ms long, delay_ms long, left int, top int, width int, height int, rgba binary, red array<long>, green array<long>, blue array<long>"
+def frame_rows(gif: bytes) -> Iterator[list]:
+    """The values of FRAMES for each frame; last, for a stream that breaks the format, what is wrong."""
+    n = 0
+    try:
+        for f in decode(gif):
+            yield [n, 10 * f.start, 10 * f.delay, f.left, f.top, f.width, f.height, f.pixels().tobytes(), *[f.histogram(c).tolist() for c in range(3)], None]
+            n += 1
+    except ValueError as e:
+        yield [n, *[None] * 10, str(e)]
+
+
+FRAMES = "frame int, start_ms long, delay_ms long, left int, top int, width int, height int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
 
 
 def frames(media: DataFrame, key: str, gif_col: str) -> DataFrame:
     """A row per frame of the GIFs in ``gif_col`` (null: none), with its composed pixels and histograms."""
     read = media.select(F.col(key).alias("_sl_key"), F.col(gif_col).cast("binary").alias("_sl_gif")).filter("_sl_gif is not null")
     kind = read.schema["_sl_key"].dataType.simpleString()
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
+    names = ["key", *[x.split()[0] for x in FRAMES.split(", ")]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, gif in enumerate(b["_sl_gif"].to_pylist()):
-                for n, f in enumerate(decode(gif)):
-                    row = [n, 10 * f.start, 10 * f.delay, f.left, f.top, f.width, f.height, f.pixels().tobytes(), *[f.histogram(c).tolist() for c in range(3)]]
-                    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 3]
-                    yield pa.RecordBatch.from_arrays([b["_sl_key"].slice(i, 1), *[pa.array([v], t) for v, t in zip(row, types, strict=True)]], names=["key", *[x.split()[0] for x in FRAMES.split(", ")]])
+                for row in frame_rows(gif):
+                    yield pa.RecordBatch.from_arrays([b["_sl_key"].slice(i, 1), *[pa.array([v], t) for v, t in zip(row, types, strict=True)]], names=names)
 
     return map_batches(read, work, f"key {kind}, {FRAMES}")
 
@@ -312,11 +341,22 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def frame_table(media: DataFrame) -> DataFrame:
-    """The written table of the frames of ``media`` (doc_id, n_bytes, media); key names the row and holds the media's digests."""
-    key = F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    found, path = frames(media.select(key.alias("key"), "media"), "key", "media"), new_path(media.sparkSession, "frames")
-    found.write.option("compression", "zstd").parquet(path)
-    return media.sparkSession.read.schema(found.schema).parquet(path)
+    """The written table of the frames of ``media``, a spooled table (doc_id, n_bytes, media) whose files are
+    deleted as soon as their frames are written; key names the row and holds the media's digests."""
+    spark, path = media.sparkSession, new_path(media.sparkSession, "frames")
+    files = sorted(media.inputFiles())
+
+    def of(some: DataFrame, part: int) -> DataFrame:
+        row = F.struct(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("id"))
+        key = F.struct(row.alias("row"), "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+        return frames(some.select(key.alias("key"), "media"), "key", "media")
+
+    for part in range(min(PARTS, len(files))):
+        own = files[part::PARTS]
+        of(spark.read.schema(media.schema).parquet(*map(unquote, own)), part).write.option("compression", "zstd").mode("append").parquet(path)
+        delete_files(spark, own)
+    schema = of(media, 0).schema
+    return spark.read.schema(schema).parquet(path) if files else spark.createDataFrame([], schema)
 
 
 def read_back(shown: DataFrame) -> DataFrame:
@@ -334,7 +374,9 @@ def read_back(shown: DataFrame) -> DataFrame:
 
         for b in batches:
             doc_type = b["key"].type.field("doc_id").type
-            for k, start, delay, rgba, red in zip(*[b[c].to_pylist() for c in ("key", "start_ms", "delay_ms", "rgba", "red")], strict=True):
+            for k, start, delay, rgba, red, error in zip(*[b[c].to_pylist() for c in ("key", "start_ms", "delay_ms", "rgba", "red", "error")], strict=True):
+                if error is not None:
+                    raise ValueError(f"stored media that cannot be read back: {error}")
                 if key is None or k["row"] != key["row"]:
                     if key is not None:
                         yield emit()
@@ -346,7 +388,7 @@ def read_back(shown: DataFrame) -> DataFrame:
         if key is not None:
             yield emit()
 
-    wanted = shown.select("key", "frame", "start_ms", "delay_ms", "rgba", "red")
+    wanted = shown.select("key", "frame", "start_ms", "delay_ms", "rgba", "red", "error")
     one = F.col("key.n_bytes") <= WIDTH * ROWS
     # Only the frames of longer texts have to be brought together.
     many = wanted.filter(~one).repartition(spread(spark), F.col("key.row")).sortWithinPartitions("key.row", "frame")
@@ -356,4 +398,7 @@ def read_back(shown: DataFrame) -> DataFrame:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """The registered query's columns; media and frames are written and read back."""
-    return read_back(frame_table(spool(stored(docs), "media")))
+    media = stored(docs)
+    path = new_path(docs.sparkSession, "media")
+    media.write.option("compression", "zstd").parquet(path)
+    return read_back(frame_table(docs.sparkSession.read.schema(media.schema).parquet(path)))
