@@ -16,17 +16,19 @@ Training counts (ORDER+1)-grams and word tokens over all training texts in one p
 per task and then by key; shorter grams are sums of longer ones. All grams are kept, as a table. Each
 distinct gram of the corpus is scored once: one that training saw by its context's totals, any other by
 joins of its shorter grams and contexts; only those of up to LOW bytes, at most 65,792, are looked up in
-memory. The TRIE most frequent scored grams are broadcast and the others joined by gram. Likewise the HEAD most
-frequent tokens are broadcast for the base score, and the others are joined by token.
+memory. The TRIE most frequent scored grams are broadcast and the others joined by gram. Likewise the HEAD most frequent tokens are broadcast for the base
+score, and the others are joined by token. Both broadcasts have their size from the constant, not from the data.
 
 Cases: null and empty texts hold just the end; without training texts all bytes are equally
-likely and the base score is 0; null ids are not held out; repeated rows are scored each; an empty
-table gives no rows; other columns are not read.
+likely and the base score is 0; null ids are not held out; repeated rows are scored each; which of equally
+frequent grams or tokens are broadcast changes no score; a very long text is scored whole, in a run of its own; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,14 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, spool, texts
+from .common import drop_spooled, map_batches, spool, texts
 from .quality import held_out
 
 ORDER, SYMBOLS, END = 5, 256, 0xFF
 #: Most scored grams, and tokens, in the broadcast heads. Neither changes a score.
-TRIE, HEAD = 3_000_000, 500_000
-#: Distinct entries that a training task gathers before it hands them on, and bytes scored at once.
-GATHER, CHUNK = 1_000_000, 4 << 20
+TRIE, HEAD = 2_000_000, 200_000
+BUCKET_BITS = 20
+#: Distinct entries that a training task gathers before it hands them on, and bytes that are counted or scored at once.
+GATHER, CHUNK = 500_000, 1 << 20
 #: Bytes of the longest grams that are looked up in memory.
 LOW = 2
 STEPS = 16  # of a threshold, per doubling
@@ -222,11 +225,43 @@ def log10_probability(trie: list[Level | Joined], keys: np.ndarray) -> np.ndarra
     return out
 
 
-def text_scores(known: tuple[np.ndarray, np.ndarray], batch: list[bytes], order: int = ORDER) -> tuple[np.ndarray, ...]:
-    """Sums over each text of the logs that ``known`` (sorted grams, logs) has; (text, gram, tf) of the other grams."""
+@dataclass
+class Head:
+    """Scored grams by bucket: a hash's first BUCKET_BITS bits; in a bucket, the most frequent gram comes first."""
+
+    starts: np.ndarray  # of each bucket, and the end of the last
+    keys: np.ndarray
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, logs: np.ndarray, uses: np.ndarray) -> Head:
+        bucket = buckets(keys)
+        order = np.lexsort((-uses, bucket))
+        starts = np.zeros((1 << BUCKET_BITS) + 1, np.int32)
+        starts[1:] = np.cumsum(np.bincount(bucket, minlength=1 << BUCKET_BITS))
+        return cls(starts, keys[order], logs[order])
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, log) of each key; 0 where it is not here."""
+        hit, logs = np.zeros(len(keys), bool), np.zeros(len(keys))
+        bucket = buckets(keys)
+        at, end, live = self.starts[bucket], self.starts[1:][bucket], np.arange(len(keys))
+        while len(live := live[at < end]):
+            at, end = at[at < end], end[at < end]
+            found = self.keys[at] == keys[live]
+            hit[live[found]], logs[live[found]] = True, self.logs[at[found]]
+            live, at, end = live[~found], at[~found] + 1, end[~found]
+        return hit, logs
+
+
+def buckets(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def text_scores(known: Head, batch: list[bytes], order: int = ORDER) -> tuple[np.ndarray, ...]:
+    """Sums over each text of the logs that ``known`` has; (text, gram, tf) of the other grams."""
     keys, firsts = grams(batch, order)
-    at, hit = find(known[0], keys)
-    logs = np.where(hit, known[1][at] if len(known[1]) else 0.0, 0.0)
+    hit, logs = known.look(keys)
     lost = np.flatnonzero(~hit)
     text, gram = np.searchsorted(firsts, lost, "right") - 1, keys[lost]
     by = np.lexsort((gram, text))
@@ -263,14 +298,16 @@ def scored(asked: DataFrame, order: int = ORDER) -> DataFrame:
             logs = log10_probability([*trie.value, *joined], b["gram"].to_numpy())
             yield pa.RecordBatch.from_arrays([b["gram"], b["uses"], pa.array(logs, pa.float64())], names=["gram", "uses", "log"])
 
-    return spool(direct.unionByName(map_batches(wide, work, "gram long, uses long, log double")), "scored")
+    found = spool(direct.unionByName(map_batches(wide, work, "gram long, uses long, log double")), "scored")
+    drop_spooled(every)
+    return found
 
 
-_HEADS: dict[int, dict[bytes, float]] = {}
+_HEADS: dict[str, dict[bytes, float]] = {}
 
 
-def head_logs(shared, key: int) -> dict[bytes, float]:
-    """token -> log10(count + 0.5), made once in a worker."""
+def head_logs(shared, key: str) -> dict[bytes, float]:
+    """token -> log10(count + 0.5), made once in a worker; ``key`` names the broadcast for good."""
     if key not in _HEADS:
         _HEADS.clear()
         tokens, logs = shared.value
@@ -285,10 +322,12 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     zero = F.lit(0).cast("long")
     asked = counts.filter("gram is not null").select("gram", "n", zero.alias("m"))
     asked = asked.unionByName(gathered(docs.filter(held), text_col, order).filter("gram is not null").select("gram", zero.alias("n"), F.col("n").alias("m")))
-    logs = scored(spool(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "asked"), order)
+    asked = spool(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "asked")
+    logs = scored(asked, order)
+    drop_spooled(asked)
     frequent = threshold(logs.withColumnRenamed("uses", "n"), TRIE)
-    found = logs.filter(step(F.col("uses")) >= frequent).select("gram", "log").sort("gram").toArrow()
-    known = spark.sparkContext.broadcast((found["gram"].to_numpy(), found["log"].to_numpy()))
+    found = logs.filter(step(F.col("uses")) >= frequent).toArrow()
+    known = spark.sparkContext.broadcast(Head.of(*(found[c].to_numpy() for c in ("gram", "log", "uses"))))
     del found
     tokens = counts.filter("token is not null").select("token", "n")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -300,7 +339,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     kind = read.schema["_sl_id"].dataType.simpleString()
     gram_type = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
     rare_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
-    key = id(head)
+    key = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = head_logs(head, key).get
