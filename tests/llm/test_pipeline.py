@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from sparseloom.llm import mixing, packing, quality
 from sparseloom.llm.common import documents
-from test_operators import lower, naive_components, naive_fingerprint, naive_targets
+from test_near_copies import kept
+from test_operators import lower, naive_targets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, fp long"
 TABLES = "/root/testdata/sf0.01"
@@ -71,9 +72,8 @@ def naive_exact(rows):
 
 
 def naive_near(rows):
-    rows = sorted(rows, key=lambda r: (r.doc_id is None, order(r)))
-    roots = naive_components([naive_fingerprint(data(r.text)) for r in rows])
-    return [r for i, r in enumerate(rows) if roots[i] == i]
+    """One row of each group that similarities of 0.8 or more on 5-word shingles connect."""
+    return [r[2] for r in kept([(r.doc_id, r.text, r) for r in rows])]
 
 
 def is_part(few, many):
