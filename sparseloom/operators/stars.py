@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars (Kiveris et al. 2014).
 
 Rounds grow with the logarithm of the vertices, however long the paths are. Each round is written to
-the shared folder. A star's centre may have a great part of all edges: such centres are broadcast to
+the shared folder, as are its parts, so that none is computed twice. A star's centre may have a great part of all edges: such centres are broadcast to
 their edges, so no task holds one star.
 """
 
@@ -24,13 +24,15 @@ def star_components(edges: DataFrame) -> tuple[DataFrame, int]:
         rounds += 1
         limit = hot_limit(spark, 2 * size)
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = spool(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"), F.count(F.lit(1)).alias("n")), "stars")
         # Large star: larger neighbours go to the least of a vertex and its neighbours.
-        large = join_hot(both.filter("dst > src"), least, "src", "n", limit).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        large = spool(join_hot(both.filter("dst > src"), least, "src", "n", limit).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct(), "stars")
         # Small star: all smaller neighbours and the vertex go to the least of them.
-        low = large.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
+        low = spool(large.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
         small = join_hot(large, low, "src", "n", limit).filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         after = spool(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct(), "stars")
+        for table in (least, large, low):
+            drop_spooled(table)
         sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         drop_spooled(now)
         now, size = after, sign[0]
