@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparseloom.plans.graph import Graph
-from sparseloom.plans.storage import drop_spooled, spool
+from sparseloom.plans.storage import drop_spooled, spool, spool_counted
 
 #: Supersteps between two written states.
 CHECK = 5
@@ -186,11 +186,11 @@ def all_vertices(edges: Dealt, weighted: bool, state: DataFrame, program: Vertex
         state = applied(state.join(summed(edges, weighted, state, program), "vid", "left"), program, step)
         last = step + 1 == num_iterations
         if last or not num_iterations or (step + 1) % CHECK == 0:
-            state = spool(state, program.name)
+            state, seen = spool_counted(state, program.name, active=F.count_if("_active"))
             if written is not None:
                 drop_spooled(written)
             written = state
-        done = last or not num_iterations and state.filter("_active").isEmpty()
+        done = last or not num_iterations and not seen["active"]
         metrics.step_seconds.append(time.perf_counter() - stepped)
         if done:
             return state
@@ -222,12 +222,13 @@ def by_frontier(edges: Dealt, weighted: bool, state: DataFrame, program: VertexP
             new, active = program.apply(F.col("_sum"), step), F.coalesce(program.changed(F.col("_sum"), step), F.lit(False))
             # What differs is written, and nothing else.
             differs = reduce(Column.__or__, [~new[c].eqNullSafe(F.col(c)) for c in names if c in new], active)
-            delta = spool(touched.filter(differs).select("vid", *[new.get(c, F.col(c)).alias(c) for c in names], active.alias("_active")), program.name)
+            rows = touched.filter(differs).select("vid", *[new.get(c, F.col(c)).alias(c) for c in names], active.alias("_active"))
+            delta, seen = spool_counted(rows, program.name, active=F.count_if("_active"))
             deltas.append(delta)
             if merged:  # what sent in this superstep
                 drop_spooled(merged.pop())
             senders = delta.filter("_active")
-            done = step + 1 == num_iterations or senders.isEmpty()
+            done = step + 1 == num_iterations or not seen["active"]
             if done or len(deltas) == CHECK:
                 whole = spool(current(base), program.name)
                 base.unpersist()

@@ -6,7 +6,7 @@ import re
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,16 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spool_counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """spool(), and aggregates of the rows that are taken as they are written, without another job.
+
+    A stage that ran again after a lost executor may count rows twice, so only zero and repetition tell anything exact.
+    """
+    seen = Observation()
+    found = spool(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+    return found, seen.get
+
+
 def drop_spooled(df: DataFrame) -> None:
     """Delete the table behind a frame that spool() returned, once nothing needs it."""
     files = df.inputFiles()
