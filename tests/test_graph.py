@@ -131,6 +131,17 @@ def test_files(spark, tiny, tmp_path):
     assert (stats_row["edges"], stats_row["max_id"]) == (10, 12)
 
 
+def test_binary_folder_with_empty_parts(spark, tiny, tmp_path):
+    io.write_binary(tiny.edges.repartition(3), str(tmp_path / "b"))
+    (tmp_path / "b" / "part-0.bin").touch()  # the first by name, as tasks without rows leave them
+    assert io.sniff_format(spark, str(tmp_path / "b")) == "binary"
+    assert sorted(map(tuple, io.read_edges(spark, str(tmp_path / "b"), weighted=True).collect())) == sorted(TINY)
+    io.write_binary(tiny.edges.limit(0), str(tmp_path / "none"))
+    (tmp_path / "bare").mkdir()
+    for path in ("none", "bare"):
+        assert io.read_edges(spark, str(tmp_path / path), weighted=True).collect() == []
+
+
 def test_empty_graph(spark):
     empty = Graph(spark.createDataFrame([], WEIGHTED_EDGE), 2)
     assert column(alg.degree(empty), "degree") == [0, 0, 0]
