@@ -33,7 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, one document stays."""
+    """Near-dedup: SimHash links by pivot distance tables; of each group of them that a Jaccard similarity of 0.8 or more
+    of five-word shingles holds together, one document stays."""
     return near_copies.one_of_each_group(docs)
 
 

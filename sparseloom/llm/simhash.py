@@ -102,7 +102,7 @@ def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def forest(bucket: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, fp) that connect just what is within the radius in the same bucket."""
+    """Links (place, place) that connect just what is within the radius in the same bucket."""
     table = np.bitwise_count(fp[None, :] ^ refs[:, None]).astype(np.int8)  # the pivot distance table
     order = np.lexsort((fp, table[0], bucket))
     bucket, fp, table = bucket[order], fp[order], table[:, order]
@@ -122,28 +122,35 @@ def forest(bucket: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray) ->
         merge(root, i[true], j[true])
         step += 1
     tied = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[tied], fp[root[tied]]
+    return order[tied], order[root[tied]]
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links among the distinct values of ``fps.fp`` whose components are those of all pairs within the radius."""
-    spark, blocks = fps.sparkSession, block_masks(radius)
-    tables = []
+    blocks, tables = block_masks(radius), []
     for t, pair in enumerate(combinations(blocks, 2)):
         key = F.lit(t).cast("long")
         for at, bits in pair:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)))
         tables.append(key)
     rows = fps.select("fp", F.explode(F.array(*tables)).alias("bucket"))
-    large = spool(rows.groupBy("bucket").count().filter(F.col("count") > BUCKET).select(F.col("bucket").alias("_sl_b"), F.ceil(F.col("count") / BUCKET).cast("long").alias("parts")), "large")
+    return bucket_links(rows, rows.groupBy("bucket").count(), radius)
+
+
+def bucket_links(rows: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links among the rows (fp, bucket) that connect what is within the radius in a bucket: values of
+    ``node`` if ``rows`` has that column, else of fp. ``counts`` (bucket, count) tells which buckets to split."""
+    spark, ids = rows.sparkSession, "node" if "node" in rows.columns else "fp"
+    columns = list(dict.fromkeys(["fp", "bucket", ids]))
+    large = spool(counts.filter(F.col("count") > BUCKET).select(F.col("bucket").alias("_sl_b"), F.ceil(F.col("count") / BUCKET).cast("long").alias("parts")), "large")
     if not large.isEmpty():
-        part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        part = F.pmod(F.xxhash64(ids), F.col("parts"))
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(part, o) * F.col("parts") + F.greatest(part, o))
         # With its own part a row is in a task anyway, through any other part.
         others = F.filter(pairs, lambda p: p != part * F.col("parts") + part)
-        rows = rows.join(large, F.col("bucket") == F.col("_sl_b"), "left").select("fp", "bucket", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others)).alias("task"))
+        rows = rows.join(large, F.col("bucket") == F.col("_sl_b"), "left").select(*columns, F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others)).alias("task"))
     else:
-        rows = rows.withColumn("task", F.lit(-1).cast("long"))
+        rows = rows.select(*columns, F.lit(-1).cast("long").alias("task"))
     dealt = rows.repartition(spread(spark), "bucket", "task").sortWithinPartitions("bucket", "task")
     refs = pivots()
 
@@ -152,16 +159,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         size = 0
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[False, (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)]
+            new = np.r_[False, (rows[1:, 1:3] != rows[:-1, 1:3]).any(axis=1)]
             a, b = forest(np.cumsum(new), rows[:, 0].copy().view(np.uint64), radius, refs)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("fp", "bucket", "task")], axis=1))
+            held.append(np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("fp", "bucket", "task", ids)], axis=1))
             size += len(held[-1])
             if size >= CHUNK:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, 1:] != rows[-1, 1:]).any(axis=1))
+                last = np.flatnonzero((rows[:, 1:3] != rows[-1, 1:3]).any(axis=1))
                 cut = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
                 if cut:
                     yield emit(rows[:cut])

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from sparseloom.llm import near_copies
 
@@ -72,3 +73,29 @@ def test_near_dedup_reaches_a_similarity_of_four_fifths(spark, tmp_path, monkeyp
 def test_near_dedup_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert near_copies.one_of_each_group(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect() == []
+
+
+def test_candidates_come_from_pivot_tables_only(spark, tmp_path, monkeypatch):
+    rows = table()
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(near_copies, "bucket_links", lambda rows, counts, radius: rows.selectExpr("node AS a", "node AS b").limit(0))
+    found = near_copies.one_of_each_group(spark.read.parquet(f"{tmp_path}/documents.parquet")).count()
+    assert found == len({shingle_set(r[1]) for r in rows})  # without their links only equal sets meet
+
+
+def test_fingerprints_are_weighted_votes_and_reach_four_fifths():
+    rng, mixers = np.random.default_rng(5), near_copies.multipliers()
+    bits = lambda words: np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1).astype(int)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+    for n in (1, 2, 4, 5, 100, 2 * near_copies.CHUNK + 7):
+        some = draw(n)
+        low, high = (bits(near_copies.drawn_words(some, *mixers[:, k])) for k in range(2))
+        assert (bits(near_copies.prints(some, mixers)[None])[0] == ((2 * low + 4 * high - 3).sum(axis=0) > 0)).all()
+    for a, b, common in ((4, 5, 4), (9, 9, 8), (16, 20, 16), (100, 100, 89)):
+        missed = 0
+        for _ in range(100):
+            some = draw(a + b - common)
+            apart = near_copies.prints(some[:a], mixers) ^ near_copies.prints(some[a - common :], mixers)
+            shared = [(apart >> np.uint64(k * near_copies.BITS) & np.uint64((1 << near_copies.BITS) - 1)) == 0 for k in range(near_copies.BLOCKS)]
+            missed += not (np.any(shared, axis=0) & (np.bitwise_count(apart) <= near_copies.RADIUS)).any()
+        assert missed <= 2, (a, b, common)
