@@ -13,8 +13,9 @@ only formed inside buckets that no true pair can miss: the bits are cut into rad
 and two fingerprints within the radius agree on at least two whole blocks. Each pair of blocks
 gives one table of buckets. In a bucket, rows are sorted by their first coordinate, and a row meets
 only those within the radius there. What a task emits is a spanning forest of the links it
-verified, not the pairs. A bucket of more than BUCKET rows is cut into parts, and each pair of
-parts is a task of its own: no group has to fit one task, and no pair is left out.
+verified, not the pairs: each tree as a star about its least member, the same whichever bucket
+it is found in. A bucket of more than BUCKET rows is cut into parts, and each pair of parts is a
+task of its own: no group has to fit one task, and no pair is left out.
 
 Components come from alternating large and small stars over the forests (operators/stars.py). Fingerprints
 that very many rows share, and groups of very many fingerprints, are broadcast to their rows instead of dealt to one task.
@@ -125,6 +126,19 @@ def forest(bucket: np.ndarray, fp: np.ndarray, radius: int, refs: np.ndarray) ->
     return order[tied], order[root[tied]]
 
 
+def stars(tied: np.ndarray, root: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (place, root's place) of forest() as links (id, least id of its tree).
+
+    A group that meets in many buckets thus gives the same links in each, which distinct() makes one.
+    """
+    least = ids.copy()
+    np.minimum.at(least, root, ids[tied])
+    places = np.concatenate([tied, np.unique(root)])
+    low = least[np.concatenate([root, np.unique(root)])]
+    apart = ids[places] != low
+    return ids[places[apart]], low[apart]
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links among the distinct values of ``fps.fp`` whose components are those of all pairs within the radius."""
     blocks, tables = block_masks(radius), []
@@ -160,8 +174,8 @@ def bucket_links(rows: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             new = np.r_[False, (rows[1:, 1:3] != rows[:-1, 1:3]).any(axis=1)]
-            a, b = forest(np.cumsum(new), rows[:, 0].copy().view(np.uint64), radius, refs)
-            return pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], names=["a", "b"])
+            a, b = stars(*forest(np.cumsum(new), rows[:, 0].copy().view(np.uint64), radius, refs), rows[:, 3])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             held.append(np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("fp", "bucket", "task", ids)], axis=1))

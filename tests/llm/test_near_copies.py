@@ -7,7 +7,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 import pytest
-from sparseloom.llm import near_copies
+from sparseloom.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,6 +83,17 @@ def test_candidates_come_from_pivot_tables_only(spark, tmp_path, monkeypatch):
     assert found == len({shingle_set(r[1]) for r in rows})  # without their links only equal sets meet
 
 
+def test_a_group_gives_the_same_links_in_each_of_its_buckets(spark):
+    rng = random.Random(9)
+    fps = rng.sample([1 << a | 1 << b for a, b in combinations(range(12), 2)], 50)  # four bits apart at most
+    rows = spark.createDataFrame([(i, f, bucket) for bucket in range(20) for i, f in enumerate(fps)], "node long, fp long, bucket long")
+    found = simhash.bucket_links(rows, rows.groupBy("bucket").count(), 4).collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(1, 50)]
+    # Some of the group in each bucket: what connects them is of the group's size still, not of the buckets'.
+    some = rows.filter("(node * 31 + bucket * 17) % 10 > 0 OR node = 0")
+    assert simhash.bucket_links(some, some.groupBy("bucket").count(), 4).count() == 49
+
+
 def test_fingerprints_are_weighted_votes_and_reach_four_fifths():
     rng, mixers = np.random.default_rng(5), near_copies.multipliers()
     bits = lambda words: np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1).astype(int)
