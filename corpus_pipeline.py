@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: one row per piece of a document's tokens."""
-    return packing.pack_documents(docs)
+    """Packing: one row per piece of a document's tokens. Workers have served the stages before, so they remember fewer words."""
+    return packing.pack_documents(docs, remember=400_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -11,7 +11,7 @@ its capacity.
 Token ids: white space separates words before the tokenizer's model sees them, so a text's ids
 are those of its ASCII-space-separated words, one after another. Workers keep the ids of words
 they have met and hand the tokenizer only new ones. After a read they forget words of over LONG
-bytes, and all words if there are more than CACHE.
+bytes, and all words if there are more than ``remember``.
 
 Cases: null and empty texts are just the end token; repeated rows and null ids are packed as
 rows of their own; an empty table gives no rows; other columns are not read.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, spool, texts
 
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Tokens in a piece of a remainder, pieces in a group, words that a worker remembers, bytes of the longest of them, bytes of text that it looks up at once.
-PIECE, GROUP, CACHE, LONG, READ = 512, 800, 400_000, 64, 1 << 20
+#: Tokens in a piece of a remainder, pieces in a group, words that a worker remembers unless told otherwise, bytes of the longest of them, bytes of text that it looks up at once.
+PIECE, GROUP, CACHE, LONG, READ = 512, 800, 1_000_000, 64, 1 << 20
 #: ASCII punctuation that may stand around a word; not the apostrophe, with which contractions begin, nor what opens a special token.
 AROUND = string.punctuation.replace("'", "").replace("<", "").encode()
 #: The tokenizer lower-cases. A-Z may be so before, but not in what may turn into a special token, nor
@@ -108,7 +108,7 @@ class WordIds(dict):
                 for w, own in zip(some, self.ids([w.decode() for w in some]), strict=True):
                     self[w] = own.tobytes()
 
-    def encode(self, batch: list[bytes]) -> Iterator[bytes]:
+    def encode(self, batch: list[bytes], remember: int = CACHE) -> Iterator[bytes]:
         """The ids of each text. Texts are read some at a time, since a call of the tokenizer has a price of its own."""
         sizes = np.cumsum([len(t) for t in batch]) // READ
         for at, end in zip(starts := [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist()], [*starts[1:], len(batch)], strict=True):
@@ -120,11 +120,11 @@ class WordIds(dict):
                 self.learn(list(new))
             for words in split:
                 yield b"".join(list(map(self.get, words)))
-            self.forget(new)
+            self.forget(new, remember)
 
-    def forget(self, new: Iterable[bytes]) -> None:
+    def forget(self, new: Iterable[bytes], remember: int) -> None:
         """What stays until the next read, maybe that of another query much later, is bounded."""
-        if len(self) > CACHE:
+        if len(self) > remember:
             self.clear()
         else:
             for w in [w for w in new if len(w) > LONG]:
@@ -163,9 +163,9 @@ def cut_points(n: int, window: int, piece: int) -> list[tuple[int, int]]:
     return [(i * window, window) for i in range(full)] + [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE, remember: int = CACHE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of all documents. ``path``: None
-    for the default tokenizer, found on the executor itself."""
+    for the default tokenizer, found on the executor itself. ``remember``: words that a worker keeps, 150 bytes each or so."""
     read = docs.select(F.col(id_col).alias("_sl_id"), F.col(text_col).alias("_sl_text"))
     id_type = read.schema["_sl_id"].dataType.simpleString()
     end = np.array([END], "<u4").tobytes()
@@ -175,7 +175,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         ids_of = word_ids(path or tokenizer_path())
         for b in batches:
             at, rows = [], []
-            for i, ids in enumerate(ids_of.encode(texts(b["_sl_text"]))):
+            for i, ids in enumerate(ids_of.encode(texts(b["_sl_text"]), remember)):
                 ids += end
                 n = len(ids) // 4
                 for start, length in cut_points(n, window, piece):
